@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality_rules, urls
+from . import licenses, mixing, near_dedup, quality_rules, urls
 
 QUERIES = {
     "op1_licenses": licenses.query,
     "op3_urls": urls.query,
+    "op4_near_dedup": near_dedup.query,
     "op5_quality_rules": quality_rules.query,
     "op7_mixing": mixing.query,
 }
