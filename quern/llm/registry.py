@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, near_dedup, quality_rules, urls
+from . import language_id, licenses, media, mixing, near_dedup, quality_rules, urls
 
 QUERIES = {
     "op1_licenses": licenses.query,
+    "op2_media": media.query,
     "op3_urls": urls.query,
     "op4_near_dedup": near_dedup.query,
     "op5_quality_rules": quality_rules.query,
     "op7_mixing": mixing.query,
+    "op8_language_id": language_id.query,
 }
 
 
