@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, licenses, media, mixing, near_dedup, quality_rules, urls
+from . import language_id, licenses, media, mixing, near_dedup, quality_rules, token_files, urls
 
 QUERIES = {
     "op1_licenses": licenses.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_urls": urls.query,
     "op4_near_dedup": near_dedup.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_token_files": token_files.query,
     "op7_mixing": mixing.query,
     "op8_language_id": language_id.query,
 }
