@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, licenses, media, mixing, near_dedup, quality_rules, token_files, urls
+from . import language_id, licenses, media, mixing, near_dedup, piece_dropout, quality_rules, rule_ensemble, token_files, urls
 
 QUERIES = {
     "op1_licenses": licenses.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_token_files": token_files.query,
     "op7_mixing": mixing.query,
     "op8_language_id": language_id.query,
+    "op9_rule_ensemble": rule_ensemble.query,
+    "op10_piece_dropout": piece_dropout.query,
 }
 
 
