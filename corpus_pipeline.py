@@ -1,5 +1,71 @@
-STAGES = []
+"""The corpus pipeline: language ID, quality rules, near-duplicates, mixing, SentencePiece coding.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and reread as the next one's ``docs``.
+All but the last return the columns of ``documents``; the last returns coded documents.
+"""
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import language_id, mixing, near_dedup, piece_dropout, quality_rules
+from quern.llm.common import materialize, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+QUALITY_POLICY = "full-1"
+#: Trained models and dropout apply to every row, so SQL cannot express the result.
+ORACLE_SQL = None
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language the network tells: not ``und``, and a score of language_id.MIN_SCORE or more."""
+    net = language_id.fit(docs)
+    kept = language_id.predict(docs.select(*COLUMNS), net)
+    return kept.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= language_id.MIN_SCORE)).select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that pass every rule of the quality policy."""
+    return quality_rules.ledger(docs.select(*COLUMNS)).where(~quality_rules.rejected(QUALITY_POLICY)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8): the one of least id.
+
+    Of repeated rows of one id one is kept; rows without id are all kept.
+    """
+    found = near_dedup.near_duplicates(docs)
+    keep = materialize(found.where("kept and doc_id is not null").select(F.col("doc_id").alias("keep")).distinct(), "pipe-keep")
+    own = docs.select(*COLUMNS)
+    named = own.join(keep, F.col("doc_id") == F.col("keep"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(own.where("doc_id is null"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes (0, 1 or 2), as rows.
+
+    Copies are allotted by id; rows without id draw one number for each source and size.
+    """
+    sizes = materialize(mixing.sized(docs).select("doc_id", "source", "size"), "pipe-sizes")
+    copies = mixing.allocate(sizes).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    copies = copies.select(*[F.col(c).alias(f"m_{c}") for c in ("doc_id", "source", "size", "copies")])
+    rows = mixing.sized(docs.select(*COLUMNS))
+    same = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size"))
+    return rows.join(copies, same).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("m_copies")))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document, with merge-dropout."""
+    return piece_dropout.encode(docs)
+
+
+STAGES = [("language_id", languages), ("quality_rules", quality), ("near_duplicates", near_duplicates), ("mixing", mix), ("sentencepiece", encode)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each but the last written to the shared folder and reread."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipe-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
