@@ -7,11 +7,13 @@
 3. What is left is confirmed on the full sets, computed again from the whole texts.
 4. Links are joined to connected components.
 
-No bucket is ever expanded into all its pairs.  A bucket first sends one star (its least id with each member), of which the
-best edge for each member is confirmed, then those that would still join two components.  Last, for buckets that still
-hold several components, members outside the bucket's main component meet the members of other components, with the
-estimate inside the join condition, so pairs that can't matter are never emitted.  All candidate pairs that could change a
-component are so confirmed; there is no cap on bucket sizes.
+No bucket is ever expanded into rows of all its pairs.  A bucket first sends one star (its least id with each member), of which the
+best edge for each member is confirmed, then those that would still join two components.  Last, buckets that still hold several
+components: members outside the bucket's main component that have a plausible partner (a semi-join on the estimate) meet the
+others in blocks of bounded size, where full sets are intersected through one sorted list of shingles.  All candidate
+pairs that could change a component are so confirmed; there is no cap on bucket sizes.
+
+Texts are never shuffled as a whole: a bitmap of fixed size, made from the ids that are needed, filters them where they are read.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ LONGS = N_HASHES * BITS // 64
 #: A link of exactly the threshold's similarity may be missed by the bands with this probability at most.
 MISS = 1e-6
 DEVIATIONS = 5
+#: Rows in a block of the last step, and bits of the bitmap that filters texts.
+BLOCK, BITMAP_BITS = 128, 1 << 25
 CACHED_WORDS = 300_000
 SEED = 20_24
 
@@ -180,6 +184,71 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return pairs.select("a", "b").join(t_b, "b").join(t_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def block_links(comp: list[int], ids: list[int], sets: list[np.ndarray], is_x: list[bool], percent: int) -> list[tuple[int, int]]:
+    """Links between components, from every x to every other row, as many as it takes to join what they join."""
+    root = {c: c for c in comp}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = []
+    for i, s in enumerate(sets):
+        if not is_x[i] or not len(s):
+            continue
+        lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())  # the ranges lo..hi one after another
+        both = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both)):
+            if (u := find(comp[i])) != (w := find(comp[j])):
+                root[max(u, w)] = min(u, w)
+                out.append((ids[i], ids[int(j)]))
+    return out
+
+
+def confirm_blocks(x: DataFrame, y: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, over all pairs of an x and a y of the same ``main``; x and y: main, id, comp.
+
+    Both sides are cut into blocks of about BLOCK rows; a task sees one block of each.
+    """
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+    sizes = materialize(blocks(x, "nx").join(blocks(y, "ny"), "main"), "nd-sizes")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    xs = x.join(sizes, "main").select("main", place("nx").alias("xb"), every("ny").alias("yb"), F.lit(True).alias("is_x"), "id", "comp")
+    ys = y.join(sizes, "main").select("main", every("nx").alias("xb"), place("ny").alias("yb"), F.lit(False).alias("is_x"), "id", "comp")
+
+    def run(t: pa.Table) -> pa.Table:
+        sets = [shingle_set(v or b"", width) for v in t["text"].cast(pa.binary()).to_pylist()]
+        found = block_links(t["comp"].to_pylist(), t["id"].to_pylist(), sets, t["is_x"].to_pylist(), percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    rows = xs.unionByName(ys).join(texts, "id").select("main", "xb", "yb", "is_x", "id", "comp", "text")
+    return rows.groupBy("main", "xb", "yb").applyInArrow(run, "a long, b long")
+
+
+def texts_of(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``source`` (id, text) that ``ids`` names, and a few others, as a written table.
+
+    The ids become a bitmap of BITMAP_BITS bits, at most BITMAP_BITS / 64 rows whatever the input, which is broadcast to the scan: texts are filtered before any shuffle.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
+    words = ids.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    hit = F.expr("shiftrightunsigned(bits, cast(p % 64 as int)) & 1L") == 1
+    rows = source.withColumn("p", place).withColumn("at", (F.col("p") / 64).cast("int"))
+    return materialize(rows.join(F.broadcast(words), F.col("at") == F.col("word")).where(hit).select("id", "text"), "nd-texts")
+
+
 def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
@@ -220,7 +289,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     est = star.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
     floor = F.lit(least_estimate(percent))
     near = materialize(est.select("a", "b", estimate("sig_a", "sig_b").alias("est")).where(F.col("est") >= floor), "nd-near")
-    texts = materialize(source.join(_ids(near), "id", "left_semi"), "nd-texts")
+    texts = texts_of(source, _ids(near))
 
     best = near.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
     labels = _relabel(None, materialize(confirm(best, texts, width, percent), "nd-links"))
@@ -232,13 +301,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     here = materialize(_labelled(inside, labels, "rep", "comp"), "nd-here")
     mixed = here.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count("*").alias("comps"))
     mixed = materialize(mixed.where("comps > 1"), "nd-mixed")
-    member = materialize(here.join(mixed, "key").join(sigs, F.col("rep") == F.col("id")).select("key", "rep", "leader", "comp", "main", "sig"), "nd-member")
-    x = member.where("comp <> main and rep <> leader").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sig_a"))
-    y = member.where("rep <> leader").select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), "main", F.col("sig").alias("sig_b"))
-    again = x.join(y, (x["key"] == y["key"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (estimate("sig_a", "sig_b") >= floor))
-    again = materialize(again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nd-again")
-    more = source.join(_ids(again), "id", "left_semi")
-    labels = _relabel(labels, materialize(confirm(again, materialize(more, "nd-texts"), width, percent), "nd-links"))
+    member = materialize(here.join(mixed, "key").join(sigs, F.col("rep") == F.col("id")).select("key", "rep", "comp", "main", "sig"), "nd-member")
+    x = member.where("comp <> main").select("key", "rep", "comp", "main", "sig")
+    y = member.select(F.col("key").alias("key_b"), F.col("comp").alias("comp_b"), F.col("sig").alias("sig_b"))
+    x = materialize(x.join(y, (F.col("key") == F.col("key_b")) & (F.col("comp") != F.col("comp_b")) & (estimate("sig", "sig_b") >= floor), "left_semi").drop("sig"), "nd-odd")
+    open_keys = x.select(F.col("key").alias("open_key")).distinct()
+    y = member.join(open_keys, F.col("key") == F.col("open_key"), "left_semi").select("main", F.col("rep").alias("id"), "comp").distinct()
+    x, y = materialize(x.select("main", F.col("rep").alias("id"), "comp").distinct(), "nd-x"), materialize(y, "nd-y")
+    links = confirm_blocks(x, y, texts_of(source, y.select("id").distinct()), width, percent)
+    labels = _relabel(labels, materialize(links, "nd-links"))
 
     found = materialize(_labelled(classes.select("digest", "rep"), labels, "rep", "component").select("digest", "component"), "nd-found")
     out = nodes.select("id", "n_shingles", "digest").join(found, "digest", "left").withColumn("component_id", F.coalesce("component", "id"))
