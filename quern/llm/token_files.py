@@ -11,6 +11,7 @@ their writing safe when executors are lost, and any store that Spark reads can h
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -20,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ LEVEL = 3
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks in each of the two halves of an encoder's cache.
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 500_000
 
 
 def default_tokenizer() -> str:
@@ -125,6 +127,12 @@ class TokenFile:
 # -- encoding ------------------------------------------------------------------------------------
 
 _RISKY = re.compile(r"\s\s|\x00")
+_RISKY_ASCII = ("  ", "\n\n", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\0")
+
+
+def risky(text: str) -> bool:
+    """Whether a text may not be cut: white space side by side, or a zero character (some more texts count as risky)."""
+    return any(x in text for x in _RISKY_ASCII) if text.isascii() else bool(_RISKY.search(text))
 
 
 class Encoder:
@@ -136,41 +144,75 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         pre = str(self.tokenizer.pre_tokenizer)
         self.cuts = pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.tokenizer.normalizer is None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Bytes of the text that each token stands for; a byte-level token has one character for each.
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.sizes[i] = len(token)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks: those that begin with white space are encoded many at a time, one after another, and told apart by the bytes of their tokens."""
+        out: dict[str, bytes] = {}
+        run = [c for c in chunks if c[:1] in (" ", "\n") and len(c) > 1]
+        alone = [c for c in chunks if not (c[:1] in (" ", "\n") and len(c) > 1)]
+        out.update(zip(alone, self._whole(alone), strict=True))
+        parts = [run[i : i + 200] for i in range(0, len(run), 200)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(list(map("".join, parts)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in part])
+            cuts = (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1) * 4
+            flat, at = ids.tobytes(), 0
+            for c, end in zip(part, cuts.tolist(), strict=True):
+                out[c] = flat[at:end]
+                at = end
+        return [out[c] for c in chunks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens."""
         out: list[bytes | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
-        whole = []
+        cut, whole = [], []
         for i, t in enumerate(texts):
-            if self.cuts and not _RISKY.search(t) and not any(s in t for s in self.special):
-                cut[i] = t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-            else:
-                whole.append(i)
+            (cut if self.cuts and not risky(t) and not any(s in t for s in self.special) else whole).append(i)
         for i, e in zip(whole, self._whole([texts[i] for i in whole]) if whole else [], strict=True):
             out[i] = e
+        if cut:
+            for i, e in zip(cut, self._cut([texts[i] for i in cut]), strict=True):
+                out[i] = e
+        return out
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Cuts texts into chunks and numbers distinct chunks outside Python; ids of texts are then gathered from those of the distinct chunks."""
+        marked = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.large_string()), " ", "\0 "), "\n", "\0\n")
+        lists = pc.split_pattern(marked, "\0")
+        numbered = lists.flatten().dictionary_encode()
+        chunks, code = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
         if len(self.known) > CACHED_CHUNKS:  # the older half goes when the younger half is full
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        fresh = set().union(*cut.values()) - known.keys()
-        again = fresh & older.keys()
-        known.update((c, older[c]) for c in again)
-        new = list(fresh - again)
-        known.update(zip(new, self._whole(new), strict=True))
-        for i, chunks in cut.items():
-            out[i] = b"".join(map(known.__getitem__, chunks))
-        return out
+        fresh = [c for c in chunks if c not in known]
+        known.update((c, older[c]) for c in fresh if c in older)
+        new = [c for c in fresh if c not in older]
+        known.update(zip(new, self._chunks(new), strict=True))
+        blobs = list(map(known.__getitem__, chunks))
+        flat = np.frombuffer(b"".join(blobs), "<u4")
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[code]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(starts[code] - ends[:-1], n) + np.arange(ends[-1])]
+        offsets = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [ids[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 @cache
@@ -195,8 +237,8 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", id_col: st
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([total], pa.int64()), pa.array([content], pa.binary())], names=["shard", "seq", "n_ids", "content"])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 for doc_id, e in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                     parts += (e, end)
                     ids.append(doc_id)
