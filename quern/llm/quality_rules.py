@@ -87,7 +87,9 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return measure(docs, text).withColumn("fail_bits", total)
+    # never true, but not foldable: a filter on the ledger stays above it, else the optimizer would copy all measuring into the filter
+    barrier = F.when(F.spark_partition_id() < 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    return measure(docs, text).withColumn("fail_bits", total.bitwiseOR(barrier))
 
 
 def rejected(policy: str) -> Column:
