@@ -29,7 +29,7 @@ DROPOUT, SEED, EPOCH, VARIANTS = 0.1, 7, 0, 4
 BLANK = "▁"
 LONG_CHUNK = 48
 #: Chunks in each of the two halves of the cache.
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 200_000
 NONE = np.int32(2**31 - 1)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _M = (1 << 64) - 1
