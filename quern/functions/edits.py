@@ -34,16 +34,18 @@ def apply_ops(text: Column, ops: Column) -> Column:
     return F.aggregate(order, text, splice)
 
 
-def apply_disjoint(text: Column, ops: Column) -> Column:
-    """Like ``apply_ops`` for operations that are ascending and disjoint: the kept stretches and replacements are joined once."""
+def apply_disjoint(chars: Column, ops: Column) -> Column:
+    """Like ``apply_ops`` for operations that are ascending and disjoint, on the array of the text's characters: each kept stretch is copied once."""
+    def stretch(start: Column, n: Column) -> Column:
+        return F.array_join(F.slice(chars, start + 1, F.greatest(n, F.lit(0))), "")
+
     def part(o: Column, i: Column) -> Column:
         prev = F.coalesce(F.get(ops, i - 1)["end"], F.lit(0)).cast("int")
-        s, e = o["start"].cast("int"), o["end"].cast("int")
         kept = F.when(o["op_type"] == "duplicate", F.concat(o["original"], o["replacement"])).when(o["op_type"] == "delete", F.lit("")).otherwise(o["replacement"])
-        return F.concat(F.substring(text, prev + 1, s - prev), kept)
+        return F.concat(stretch(prev, o["start"].cast("int") - prev), kept)
 
     last = F.coalesce(F.get(ops, F.size(ops) - 1)["end"], F.lit(0)).cast("int")
-    return F.concat(F.array_join(F.transform(ops, part), ""), F.substring(text, last + 1, F.length(text)))
+    return F.concat(F.array_join(F.transform(ops, part), ""), stretch(last, F.size(chars) - last))
 
 
 def redact(ops: Column) -> Column:

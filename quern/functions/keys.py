@@ -39,9 +39,16 @@ def pick(seed: Column, j: Column, width: Column) -> Column:
 
 
 def stratified(seed: Column, n: Column, k: Column) -> Column:
-    """k of the ranks 0 to n - 1, ascending and distinct: one from each of k even strata."""
-    def one(j: Column) -> Column:
-        lo, hi = F.floor(j * n / k), F.floor((j + 1) * n / k)
-        return (lo + pick(seed, j, F.greatest(hi - lo, F.lit(1)))).cast("int")
+    """k of the ranks 0 to n - 1, ascending and distinct: one from each of k even strata.
 
-    return F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), one)).otherwise(F.array().cast("array<int>"))
+    n and k are bound once for each row: within the inner lambda their expressions would be computed anew for every rank.
+    """
+
+    def ranks(b: Column) -> Column:
+        def one(j: Column) -> Column:
+            lo, hi = F.floor(j * b["n"] / b["k"]), F.floor((j + 1) * b["n"] / b["k"])
+            return (lo + pick(seed, j, F.greatest(hi - lo, F.lit(1)))).cast("int")
+
+        return F.when(b["k"] > 0, F.transform(F.sequence(F.lit(0), F.greatest(b["k"], F.lit(1)) - 1), one)).otherwise(F.array().cast("array<int>"))
+
+    return F.get(F.transform(F.array(F.struct(n.alias("n"), k.alias("k"))), ranks), F.lit(0))

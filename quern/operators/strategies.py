@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.edits import apply_disjoint, op, reindex
 from ..functions.keys import pick, row_seed, stratified
+from ..functions.plan import opaque
 from ..functions.text import UNIT
 from ..schema import LEVELS
 
@@ -121,11 +122,11 @@ def perturb(df: DataFrame, strategy: str, text: str = "text_a", base_seed: int =
     ``df`` needs dataset_name and sample_id.  Null texts and texts without an eligible place: NOT_APPLIED, no operations.
     """
     spark, pattern, t = df.sparkSession, UNIT[unit], F.coalesce(F.col(text), F.lit(""))
-    rows = df.withColumn("__t", t)
+    # split() of '' has one empty string, which no class matches
+    rows = df.withColumn("__t", t).withColumn("__c", F.split("__t", ""))
     if strategy != "red_word":
         s = CHAR_STRATEGIES[strategy]
-        # split() of '' has one empty string, which no class matches
-        rows = rows.withColumn("__c", F.split("__t", "")).withColumn("__p", s.places(F.col("__c"), pattern))
+        rows = rows.withColumn("__p", s.places(F.col("__c"), pattern))
     each = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{x}')" for x in levels or LEVELS) + " AS v(level)")
     rows = rows.crossJoin(F.broadcast(each))  # three rows
     rows = rows.withColumn("seed", row_seed(F.lit(base_seed), F.col("dataset_name"), F.col("sample_id"), F.lit(strategy), F.col("level")))
@@ -136,8 +137,8 @@ def perturb(df: DataFrame, strategy: str, text: str = "text_a", base_seed: int =
         ranks = F.col("__r")
         rows = rows.withColumn("__r", stratified(F.col("seed"), n, budget(strategy, F.col("level"), n, F.length("__t"))))
         ops = reindex(F.transform(ranks, lambda r, j: s.edit(F.col("__c"), F.get("__p", r), F.col("seed"), j)))
-    rows = rows.withColumn("ops", ops).withColumn("change_count", F.size("ops").cast("long"))
-    rows = rows.withColumn("corrupted", F.when(F.col("change_count") > 0, apply_disjoint(F.col("__t"), F.col("ops"))))
+    rows = rows.withColumn("ops", opaque(ops)).withColumn("change_count", F.size("ops").cast("long"))
+    rows = rows.withColumn("corrupted", F.when(F.col("change_count") > 0, apply_disjoint(F.col("__c"), F.col("ops"))))
     rows = rows.withColumn("status", F.when(F.col("change_count") > 0, "APPLIED").otherwise("NOT_APPLIED"))
     return rows.drop("__t", "__c", "__p", "__r")
 
@@ -161,7 +162,7 @@ def perturb_pair_joint(df: DataFrame, strategy: str = "vis", fields: tuple[str,
         rows = rows.withColumn(f"ops_{x}", reindex(_in_field(s, x, f, own[x])))
     rows = rows.withColumn("ops_b", F.transform("ops_b", lambda o: o.withField("op_index", o["op_index"] + F.size("ops_a"))))
     for x, f in zip("ab", fields, strict=True):
-        rows = rows.withColumn(f"corrupted_{x}", apply_disjoint(F.col(f"__t{x}"), F.col(f"ops_{x}")))
+        rows = rows.withColumn(f"corrupted_{x}", apply_disjoint(F.col(f"__c{x}"), F.col(f"ops_{x}")))
     rows = rows.withColumn("change_count", (F.size("ops_a") + F.size("ops_b")).cast("long"))
     return rows.drop(*[f"__{k}{x}" for k in "tcp" for x in "ab"], "__r")
 

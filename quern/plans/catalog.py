@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import edits, keys, labels, text
-from ..operators import adapters, assign, audit, metrics, prompts, recover, strategies
+from ..operators import adapters, assign, audit, metrics, prompts, recover, runner, strategies
 from ..schema import LEVELS, STRATEGIES
 from ..streaming import request_log
 from . import fixtures as fx
@@ -137,6 +137,30 @@ def _(s, d):
     return _assigned(s, d).groupBy("strategy").agg(F.count("*").alias("n"))
 
 
+_EVERY = " UNION ALL ".join(f"SELECT '{n}' AS strategy, * FROM ({strategies.oracle(n)})" for n in STRATEGIES)
+# where the assigned strategy changes nothing, the first by name that does
+_RUN = f"""{_ASSIGNED}, every AS ({_EVERY}), works AS (SELECT sample_id, strategy FROM every WHERE level = 'low' AND change_count > 0), first AS (SELECT sample_id, min(strategy) AS strategy FROM works GROUP BY ALL),
+chosen AS (SELECT a.sample_id, coalesce(w.strategy, f.strategy) AS strategy FROM assigned a LEFT JOIN works w ON a.sample_id = w.sample_id AND a.strategy = w.strategy LEFT JOIN first f ON a.sample_id = f.sample_id),
+run AS (SELECT e.* FROM chosen c JOIN every e ON c.sample_id = e.sample_id AND c.strategy = e.strategy)"""
+
+
+@query("p24_assigned_run", _with(_RUN, "SELECT sample_id, strategy, level, change_count, corrupted_md5 FROM run"))
+def _(s, d):
+    return runner.run_assigned(fx.single(s, d).drop("gold_label")).where("strategy is not null").select("sample_id", "strategy", "level", "change_count", F.md5("corrupted").alias("corrupted_md5"))
+
+
+@query("g11_status_counts", _with(_RUN, "SELECT strategy, level, CASE WHEN change_count > 0 THEN 'APPLIED' ELSE 'NOT_APPLIED' END AS status, count(*) AS n FROM run GROUP BY ALL"))
+def _(s, d):
+    return runner.run_assigned(fx.single(s, d).drop("gold_label")).where("strategy is not null").groupBy("strategy", "level", "status").agg(F.count("*").alias("n"))
+
+
+@query("o2_constrained_first", _with(_ASSIGNED, "SELECT sample_id, row_number() OVER (PARTITION BY h % 256 ORDER BY len(eligible), h, sample_id) AS place FROM el"))
+def _(s, d):
+    df = fx.single(s, d).select("sample_id", F.size(assign.eligible(F.col("text_a"))).alias("n"), keys.hex_number(F.concat_ws("|", F.lit("assign"), "dataset_name", "sample_id")).alias("h"))
+    w = Window.partitionBy(F.pmod("h", F.lit(256))).orderBy("n", "h", "sample_id")  # ordered within hash buckets, never as a whole
+    return df.select("sample_id", F.row_number().over(w).cast("long").alias("place"))
+
+
 @query("p22_exhaustive_plan", _with(fx.SINGLE, f"SELECT st, lv, count(*) AS n FROM single, (SELECT unnest({STRATEGIES}) AS st), (SELECT unnest({LEVELS}) AS lv) GROUP BY ALL"))
 def _(s, d):
     pick = lambda xs, n: s.sql("SELECT * FROM VALUES " + ", ".join(f"('{x}')" for x in xs) + f" AS v({n})")
@@ -658,6 +682,17 @@ def _(s, d):
     return fx.responses(s, d).agg(F.count_if(F.col("corruption_name").isNull()).alias("clean"), F.count_if(F.col("corruption_name").isNotNull()).alias("corrupted"))
 
 
+@query("g6_accuracy_drop", _with(f"{fx.RESPONSES}, {_CLEAN_SQL}", f"SELECT corruption_name, (SELECT {_PCT('sum(correct)', 'sum(total)')} FROM cm) - {_PCT('sum(correct)', 'sum(responses)')} AS drop_pct FROM rated GROUP BY ALL"))
+def _(s, d):
+    out = _outcomes(s, d)
+    return metrics.strategy_metrics(metrics.bucket_metrics(metrics.paired(out)), metrics.clean_metrics(out)).select("corruption_name", "drop_pct")
+
+
+@query("g19_expected_records", "SELECT user_id, sum(n)::BIGINT AS expected FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL) GROUP BY ALL")
+def _(s, d):
+    return fx.table(s, d, "events").where("event_type <> 'error'").groupBy("user_id").agg(F.count("*").alias("expected"))
+
+
 @query("g20_sample_counts", _with(fx.SAMPLES, "SELECT count(*) FILTER (corruption_name IS NULL) AS clean, count(*) FILTER (corruption_name IS NOT NULL) AS corrupted, count(*) AS total FROM sampled"))
 def _(s, d):
     return fx.samples(s, d).agg(F.count_if(F.col("corruption_name").isNull()).alias("clean"), F.count_if(F.col("corruption_name").isNotNull()).alias("corrupted"), F.count("*").alias("total"))

@@ -23,7 +23,7 @@ def ops_of(*rows):
 ])
 def test_apply(spark, clean, rows, want):
     assert one(spark, edits.apply_ops(F.col("v"), ops_of(*rows)), clean) == want
-    assert one(spark, edits.apply_disjoint(F.col("v"), ops_of(*rows)), clean) == want
+    assert one(spark, edits.apply_disjoint(F.split("v", ""), ops_of(*rows)), clean) == want
 
 
 def test_apply_takes_any_order(spark):
@@ -90,3 +90,11 @@ def test_compat(spark):
     assert [tuple(o) for o in r[2][2]] == [("delete", 1, 2, "b", "")]
     assert one(spark, compat.nfkc(F.col("v")), " Ａﬁ ") == "Afi"
     assert one(spark, compat.seeded_choice(F.lit(7), F.lit(20), F.lit(3))) == one(spark, compat.seeded_choice(F.lit(7), F.lit(20), F.lit(3)))
+
+
+def test_best_candidate():
+    a = "abcdefghijklmnopqrst"
+    assert compat.best_of(a, [a, None, "Xbcdefghijklmnopqrst", "XYcdefghijklmnopqrst"], 2, 0.5) == "XYcdefghijklmnopqrst"
+    assert compat.best_of(a, ["X" * 20], 2, 0.1) is None
+    assert compat.best_of("abcd", ["badc", "dcba"], 2, 1, swaps=True) == "badc"
+    assert compat.best_of("中文文本", ["中文", "中文A👫文本"], 1, 1, noise=True) == "中文A文本"
