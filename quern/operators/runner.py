@@ -23,7 +23,7 @@ def _by_strategy(strategy: Column, values: dict[str, Column]) -> Column:
 
 
 def _n_places(strategy: Column, chars: Column, text: Column, pattern: str) -> Column:
-    sizes = {n: F.size(s.places(chars, pattern)) for n, s in CHAR_STRATEGIES.items()}
+    sizes = {n: F.size(s.places(text, chars, pattern)) for n, s in CHAR_STRATEGIES.items()}
     return _by_strategy(strategy, sizes | {"red_word": F.size(F.regexp_extract_all(text, F.lit(f"({pattern}+)"), 1))})
 
 
@@ -32,7 +32,7 @@ def perturb_assigned(df: DataFrame, text: str = "text_a", base_seed: int = BASE_
     pattern, t, s = UNIT[unit], F.col("__t"), F.col("strategy")
     each = df.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"('{x}')" for x in LEVELS) + " AS v(level)")
     rows = df.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__c", F.split("__t", ""))
-    rows = rows.withColumn("__p", _by_strategy(s, {n: x.places(F.col("__c"), pattern) for n, x in CHAR_STRATEGIES.items()})).crossJoin(F.broadcast(each))  # three rows
+    rows = rows.withColumn("__p", _by_strategy(s, {n: x.places(t, F.col("__c"), pattern) for n, x in CHAR_STRATEGIES.items()})).crossJoin(F.broadcast(each))  # three rows
     rows = rows.withColumn("seed", row_seed(F.lit(base_seed), F.col("dataset_name"), F.col("sample_id"), s, F.col("level")))
     n = F.size("__p")
     rows = rows.withColumn("__r", stratified(F.col("seed"), n, _by_strategy(s, {x: budget(x, F.col("level"), n, F.length(t)) for x in CHAR_STRATEGIES})))

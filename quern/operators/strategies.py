@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.edits import apply_disjoint, op, reindex
 from ..functions.keys import pick, row_seed, stratified
-from ..functions.plan import opaque
 from ..functions.text import UNIT
 from ..schema import LEVELS
 
@@ -62,16 +61,31 @@ def _one_of(table: dict[str, str], drop: str = "") -> str:
 @dataclass(frozen=True)
 class Strategy:
     name: str
-    #: (chars, unit pattern) -> eligible places, ascending
-    places: Callable[[Column, str], Column]
+    #: (text, chars, unit pattern) -> eligible places, ascending
+    places: Callable[[Column, Column, str], Column]
     #: (chars, place, seed, j) -> operation
     edit: Callable[[Column, Column, Column, Column], Column]
 
 
+#: Stands for characters outside a class; a text's own zero characters are in no class.
+_OUT = "\0"
+
+
+def _mask(text: Column, cls: str) -> Column:
+    """The text's characters, with _OUT for each that is outside the class: one pattern over the whole text instead of one for each character."""
+    inner = cls[1:-1] if cls.startswith("[") else cls
+    return F.split(F.regexp_replace(text, f"(?s)[^{inner}]", _OUT), "")
+
+
 def _where(chars: Column, test: Callable[[Column, Column], Column]) -> Column:
     return F.filter(F.transform(chars, lambda c, i: F.when(test(c, i), i)), lambda x: x.isNotNull())
 
 
+def _in_class(text: Column, cls: str) -> Column:
+    # split() of '' has one empty string, which is in no class
+    return _where(_mask(text, cls), lambda c, i: (c != _OUT) & (c != ""))
+
+
 def _replace(table: dict[str, str]) -> Callable[..., Column]:
     return lambda chars, p, seed, j: op("replace", p, p + 1, F.get(chars, p), map_char(F.get(chars, p), table))
 
@@ -81,17 +95,21 @@ def _noise(chars: Column, p: Column, seed: Column, j: Column) -> Column:
     return op("insert", p + 1, p + 1, F.lit(""), F.substring(F.lit(NOISE), i + 1, F.lit(1)), unit="noise")
 
 
-def _swap_places(chars: Column, unit: str) -> Column:
-    return _where(chars, lambda c, i: (i % 2 == 0) & c.rlike(unit) & F.coalesce(F.get(chars, i + 1).rlike(unit) & (F.get(chars, i + 1) != c), F.lit(False)))
+def _swap_places(text: Column, chars: Column, unit: str) -> Column:
+    def places(mask: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(mask, i + 1), F.lit(_OUT))
+        return _where(mask, lambda c, i: (i % 2 == 0) & (c != _OUT) & (c != "") & (after(i) != _OUT) & (after(i) != c))
+
+    return _let(_mask(text, unit), places)
 
 
 CHAR_STRATEGIES = {s.name: s for s in [
-    Strategy("homo", lambda chars, unit: _where(chars, lambda c, i: c.rlike(_one_of(SOUND_ALIKE))), _replace(SOUND_ALIKE)),
-    Strategy("vis", lambda chars, unit: _where(chars, lambda c, i: c.rlike(_one_of(LOOK_ALIKE, STOP))), _replace(LOOK_ALIKE)),
-    Strategy("del", lambda chars, unit: _where(chars, lambda c, i: c.rlike(unit)), lambda chars, p, seed, j: op("delete", p, p + 1, F.get(chars, p), F.lit(""))),
+    Strategy("homo", lambda text, chars, unit: _in_class(text, _one_of(SOUND_ALIKE)), _replace(SOUND_ALIKE)),
+    Strategy("vis", lambda text, chars, unit: _in_class(text, _one_of(LOOK_ALIKE, STOP)), _replace(LOOK_ALIKE)),
+    Strategy("del", lambda text, chars, unit: _in_class(text, unit), lambda chars, p, seed, j: op("delete", p, p + 1, F.get(chars, p), F.lit(""))),
     Strategy("swap", _swap_places, lambda chars, p, seed, j: op("replace", p, p + 2, F.concat(F.get(chars, p), F.get(chars, p + 1)), F.concat(F.get(chars, p + 1), F.get(chars, p)))),
-    Strategy("add_noise", lambda chars, unit: _where(chars, lambda c, i: c.rlike(unit)), _noise),
-    Strategy("red_char", lambda chars, unit: _where(chars, lambda c, i: c.rlike(unit)), lambda chars, p, seed, j: op("duplicate", p, p + 1, F.get(chars, p), F.get(chars, p))),
+    Strategy("add_noise", lambda text, chars, unit: _in_class(text, unit), _noise),
+    Strategy("red_char", lambda text, chars, unit: _in_class(text, unit), lambda chars, p, seed, j: op("duplicate", p, p + 1, F.get(chars, p), F.get(chars, p))),
 ]}
 
 
@@ -121,26 +139,27 @@ def perturb(df: DataFrame, strategy: str, text: str = "text_a", base_seed: int =
 
     ``df`` needs dataset_name and sample_id.  Null texts and texts without an eligible place: NOT_APPLIED, no operations.
     """
-    spark, pattern, t = df.sparkSession, UNIT[unit], F.coalesce(F.col(text), F.lit(""))
-    # split() of '' has one empty string, which no class matches
+    pattern, t, own = UNIT[unit], F.coalesce(F.col(text), F.lit("")), df.columns
+    lit, names = {x: F.lit(x) for x in levels or LEVELS}, list(levels or LEVELS)
     rows = df.withColumn("__t", t).withColumn("__c", F.split("__t", ""))
-    if strategy != "red_word":
-        s = CHAR_STRATEGIES[strategy]
-        rows = rows.withColumn("__p", s.places(F.col("__c"), pattern))
-    each = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{x}')" for x in levels or LEVELS) + " AS v(level)")
-    rows = rows.crossJoin(F.broadcast(each))  # three rows
-    rows = rows.withColumn("seed", row_seed(F.lit(base_seed), F.col("dataset_name"), F.col("sample_id"), F.lit(strategy), F.col("level")))
+    rows = rows.withColumns({f"__s_{x}": row_seed(F.lit(base_seed), F.col("dataset_name"), F.col("sample_id"), F.lit(strategy), lit[x]) for x in names})
     if strategy == "red_word":
-        ops = word_ops(F.col("__t"), F.col("seed"), F.col("level"), pattern)
+        ops = {x: word_ops(F.col("__t"), F.col(f"__s_{x}"), lit[x], pattern) for x in names}
     else:
-        n = F.size("__p")
-        ranks = F.col("__r")
-        rows = rows.withColumn("__r", stratified(F.col("seed"), n, budget(strategy, F.col("level"), n, F.length("__t"))))
-        ops = reindex(F.transform(ranks, lambda r, j: s.edit(F.col("__c"), F.get("__p", r), F.col("seed"), j)))
-    rows = rows.withColumn("ops", opaque(ops)).withColumn("change_count", F.size("ops").cast("long"))
-    rows = rows.withColumn("corrupted", F.when(F.col("change_count") > 0, apply_disjoint(F.col("__c"), F.col("ops"))))
-    rows = rows.withColumn("status", F.when(F.col("change_count") > 0, "APPLIED").otherwise("NOT_APPLIED"))
-    return rows.drop("__t", "__c", "__p", "__r")
+        s, n = CHAR_STRATEGIES[strategy], F.size("__p")
+        rows = rows.withColumn("__p", s.places(F.col("__t"), F.col("__c"), pattern)).withColumn("__n", F.length("__t"))
+        rows = rows.withColumns({f"__r_{x}": stratified(F.col(f"__s_{x}"), n, budget(strategy, lit[x], n, F.col("__n"))) for x in names})
+        ops = {x: reindex(_edits(s, f"__r_{x}", f"__s_{x}")) for x in names}
+    rows = rows.withColumns({f"__o_{x}": ops[x] for x in names})
+    each = [F.struct(lit[x].alias("level"), F.col(f"__s_{x}").alias("seed"), F.col(f"__o_{x}").alias("ops"), F.when(F.size(f"__o_{x}") > 0, apply_disjoint(F.col("__c"), F.col(f"__o_{x}"))).alias("corrupted")) for x in names]
+    # levels become rows only now, so that what they share is neither computed nor copied three times
+    rows = rows.select(*own, F.inline(F.array(*each)))
+    rows = rows.withColumn("change_count", F.size("ops").cast("long"))
+    return rows.withColumn("status", F.when(F.col("change_count") > 0, "APPLIED").otherwise("NOT_APPLIED"))
+
+
+def _edits(s: Strategy, ranks: str, seed: str) -> Column:
+    return F.transform(ranks, lambda r, j: s.edit(F.col("__c"), F.get("__p", r), F.col(seed), j))
 
 
 def _in_field(s: Strategy, x: str, field: str, ranks: Column) -> Column:
@@ -152,7 +171,7 @@ def perturb_pair_joint(df: DataFrame, strategy: str = "vis", fields: tuple[str,
     s, pattern = CHAR_STRATEGIES[strategy], UNIT[unit]
     rows = df
     for x, f in zip("ab", fields, strict=True):
-        rows = rows.withColumn(f"__t{x}", F.coalesce(F.col(f), F.lit(""))).withColumn(f"__c{x}", F.split(f"__t{x}", "")).withColumn(f"__p{x}", s.places(F.col(f"__c{x}"), pattern))
+        rows = rows.withColumn(f"__t{x}", F.coalesce(F.col(f), F.lit(""))).withColumn(f"__c{x}", F.split(f"__t{x}", "")).withColumn(f"__p{x}", s.places(F.col(f"__t{x}"), F.col(f"__c{x}"), pattern))
     each = df.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"('{x}')" for x in LEVELS) + " AS v(level)")
     rows = rows.crossJoin(F.broadcast(each)).withColumn("seed", row_seed(F.lit(base_seed), F.col("dataset_name"), F.col("sample_id"), F.lit(strategy), F.col("level")))
     na, n = F.size("__pa"), F.size("__pa") + F.size("__pb")
