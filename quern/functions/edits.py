@@ -34,18 +34,28 @@ def apply_ops(text: Column, ops: Column) -> Column:
     return F.aggregate(order, text, splice)
 
 
-def apply_disjoint(chars: Column, ops: Column) -> Column:
-    """Like ``apply_ops`` for operations that are ascending and disjoint, on the array of the text's characters: each kept stretch is copied once."""
-    def stretch(start: Column, n: Column) -> Column:
+#: Up to so many operations stretches are cut from the text (each cut scans it); beyond, from the array of its characters.
+FEW_OPS = 32
+
+
+def apply_disjoint(text: Column, chars: Column, ops: Column) -> Column:
+    """Like ``apply_ops`` for operations that are ascending and disjoint: kept stretches are joined once.  ``chars``: the characters of ``text``."""
+    def from_text(start: Column, n: Column) -> Column:
+        return F.substring(text, start + 1, n)
+
+    def from_chars(start: Column, n: Column) -> Column:
         return F.array_join(F.slice(chars, start + 1, F.greatest(n, F.lit(0))), "")
 
-    def part(o: Column, i: Column) -> Column:
-        prev = F.coalesce(F.get(ops, i - 1)["end"], F.lit(0)).cast("int")
-        kept = F.when(o["op_type"] == "duplicate", F.concat(o["original"], o["replacement"])).when(o["op_type"] == "delete", F.lit("")).otherwise(o["replacement"])
-        return F.concat(stretch(prev, o["start"].cast("int") - prev), kept)
+    def joined(stretch, length: Column) -> Column:
+        def part(o: Column, i: Column) -> Column:
+            prev = F.coalesce(F.get(ops, i - 1)["end"], F.lit(0)).cast("int")
+            kept = F.when(o["op_type"] == "duplicate", F.concat(o["original"], o["replacement"])).when(o["op_type"] == "delete", F.lit("")).otherwise(o["replacement"])
+            return F.concat(stretch(prev, o["start"].cast("int") - prev), kept)
+
+        last = F.coalesce(F.get(ops, F.size(ops) - 1)["end"], F.lit(0)).cast("int")
+        return F.concat(F.array_join(F.transform(ops, part), ""), stretch(last, length - last))
 
-    last = F.coalesce(F.get(ops, F.size(ops) - 1)["end"], F.lit(0)).cast("int")
-    return F.concat(F.array_join(F.transform(ops, part), ""), stretch(last, F.size(chars) - last))
+    return F.when(F.size(ops) <= FEW_OPS, joined(from_text, F.length(text))).otherwise(joined(from_chars, F.size(chars)))
 
 
 def redact(ops: Column) -> Column:

@@ -151,7 +151,7 @@ def perturb(df: DataFrame, strategy: str, text: str = "text_a", base_seed: int =
         rows = rows.withColumns({f"__r_{x}": stratified(F.col(f"__s_{x}"), n, budget(strategy, lit[x], n, F.col("__n"))) for x in names})
         ops = {x: reindex(_edits(s, f"__r_{x}", f"__s_{x}")) for x in names}
     rows = rows.withColumns({f"__o_{x}": ops[x] for x in names})
-    each = [F.struct(lit[x].alias("level"), F.col(f"__s_{x}").alias("seed"), F.col(f"__o_{x}").alias("ops"), F.when(F.size(f"__o_{x}") > 0, apply_disjoint(F.col("__c"), F.col(f"__o_{x}"))).alias("corrupted")) for x in names]
+    each = [F.struct(lit[x].alias("level"), F.col(f"__s_{x}").alias("seed"), F.col(f"__o_{x}").alias("ops"), F.when(F.size(f"__o_{x}") > 0, apply_disjoint(F.col("__t"), F.col("__c"), F.col(f"__o_{x}"))).alias("corrupted")) for x in names]
     # levels become rows only now, so that what they share is neither computed nor copied three times
     rows = rows.select(*own, F.inline(F.array(*each)))
     rows = rows.withColumn("change_count", F.size("ops").cast("long"))
@@ -181,7 +181,7 @@ def perturb_pair_joint(df: DataFrame, strategy: str = "vis", fields: tuple[str,
         rows = rows.withColumn(f"ops_{x}", reindex(_in_field(s, x, f, own[x])))
     rows = rows.withColumn("ops_b", F.transform("ops_b", lambda o: o.withField("op_index", o["op_index"] + F.size("ops_a"))))
     for x, f in zip("ab", fields, strict=True):
-        rows = rows.withColumn(f"corrupted_{x}", apply_disjoint(F.col(f"__c{x}"), F.col(f"ops_{x}")))
+        rows = rows.withColumn(f"corrupted_{x}", apply_disjoint(F.col(f"__t{x}"), F.col(f"__c{x}"), F.col(f"ops_{x}")))
     rows = rows.withColumn("change_count", (F.size("ops_a") + F.size("ops_b")).cast("long"))
     return rows.drop(*[f"__{k}{x}" for k in "tcp" for x in "ab"], "__r")
 

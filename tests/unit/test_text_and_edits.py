@@ -21,9 +21,11 @@ def ops_of(*rows):
     ("测试", [("delete", 0, 2, "测试", "")], ""),
     ("a😀b", [("replace", 1, 2, "😀", "😁😁"), ("insert", 3, 3, "", "!")], "a😁😁b!"),
 ])
-def test_apply(spark, clean, rows, want):
+def test_apply(spark, clean, rows, want, monkeypatch):
     assert one(spark, edits.apply_ops(F.col("v"), ops_of(*rows)), clean) == want
-    assert one(spark, edits.apply_disjoint(F.split("v", ""), ops_of(*rows)), clean) == want
+    for few in (0, 32):
+        monkeypatch.setattr(edits, "FEW_OPS", few)
+        assert one(spark, edits.apply_disjoint(F.col("v"), F.split("v", ""), ops_of(*rows)), clean) == want
 
 
 def test_apply_takes_any_order(spark):
