@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..schema import SAFE_METADATA
 
 
-def op(kind: str | Column, start: Column, end: Column, original: Column, replacement: Column, field: Column | None = None, unit: str = "char", metadata: Column | None = None) -> Column:
+def op(kind: str | Column, start: Column, end: Column, original: Column, replacement: Column, field: Column | None = None, unit: str = "char", metadata: Column | None = None, index: Column | None = None) -> Column:
     return F.struct(
-        F.lit(0).cast("long").alias("op_index"), (F.lit(kind) if isinstance(kind, str) else kind).alias("op_type"), (F.lit("text_a") if field is None else field).alias("field"),
+        (F.lit(0) if index is None else index).cast("long").alias("op_index"), (F.lit(kind) if isinstance(kind, str) else kind).alias("op_type"), (F.lit("text_a") if field is None else field).alias("field"),
         start.cast("long").alias("start"), end.cast("long").alias("end"), original.alias("original"), replacement.alias("replacement"), F.lit(unit).alias("unit_kind"),
         (F.create_map().cast("map<string,string>") if metadata is None else metadata).alias("metadata"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edits import apply_disjoint, reindex
+from ..functions.edits import apply_disjoint
 from ..functions.keys import row_seed, stratified
 from ..functions.plan import opaque
 from ..functions.text import UNIT
@@ -36,7 +36,7 @@ def perturb_assigned(df: DataFrame, text: str = "text_a", base_seed: int = BASE_
     rows = rows.withColumn("seed", row_seed(F.lit(base_seed), F.col("dataset_name"), F.col("sample_id"), s, F.col("level")))
     n = F.size("__p")
     rows = rows.withColumn("__r", stratified(F.col("seed"), n, _by_strategy(s, {x: budget(x, F.col("level"), n, F.length(t)) for x in CHAR_STRATEGIES})))
-    ops = {x: reindex(_edit(st, "__r")) for x, st in CHAR_STRATEGIES.items()}
+    ops = {x: _edit(st, "__r") for x, st in CHAR_STRATEGIES.items()}
     rows = rows.withColumn("ops", opaque(F.coalesce(_by_strategy(s, ops | {"red_word": word_ops(t, F.col("seed"), F.col("level"), pattern)}), F.filter(word_ops(F.lit(""), F.lit(0), F.col("level"), pattern), lambda o: F.lit(False)))))
     rows = rows.withColumn("change_count", F.size("ops").cast("long")).withColumn("corrupted", F.when(F.col("change_count") > 0, apply_disjoint(F.col("__t"), F.col("__c"), F.col("ops"))))
     return rows.withColumn("status", F.when(F.col("change_count") > 0, "APPLIED").otherwise("NOT_APPLIED")).drop("__t", "__c", "__p", "__r")

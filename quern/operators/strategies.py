@@ -87,12 +87,12 @@ def _in_class(text: Column, cls: str) -> Column:
 
 
 def _replace(table: dict[str, str]) -> Callable[..., Column]:
-    return lambda chars, p, seed, j: op("replace", p, p + 1, F.get(chars, p), map_char(F.get(chars, p), table))
+    return lambda chars, p, seed, j: op("replace", p, p + 1, F.get(chars, p), map_char(F.get(chars, p), table), index=j)
 
 
 def _noise(chars: Column, p: Column, seed: Column, j: Column) -> Column:
     i = pick(seed, F.concat(F.lit("noise"), j.cast("string")), F.lit(len(NOISE))).cast("int")
-    return op("insert", p + 1, p + 1, F.lit(""), F.substring(F.lit(NOISE), i + 1, F.lit(1)), unit="noise")
+    return op("insert", p + 1, p + 1, F.lit(""), F.substring(F.lit(NOISE), i + 1, F.lit(1)), unit="noise", index=j)
 
 
 def _swap_places(text: Column, chars: Column, unit: str) -> Column:
@@ -106,10 +106,10 @@ def _swap_places(text: Column, chars: Column, unit: str) -> Column:
 CHAR_STRATEGIES = {s.name: s for s in [
     Strategy("homo", lambda text, chars, unit: _in_class(text, _one_of(SOUND_ALIKE)), _replace(SOUND_ALIKE)),
     Strategy("vis", lambda text, chars, unit: _in_class(text, _one_of(LOOK_ALIKE, STOP)), _replace(LOOK_ALIKE)),
-    Strategy("del", lambda text, chars, unit: _in_class(text, unit), lambda chars, p, seed, j: op("delete", p, p + 1, F.get(chars, p), F.lit(""))),
-    Strategy("swap", _swap_places, lambda chars, p, seed, j: op("replace", p, p + 2, F.concat(F.get(chars, p), F.get(chars, p + 1)), F.concat(F.get(chars, p + 1), F.get(chars, p)))),
+    Strategy("del", lambda text, chars, unit: _in_class(text, unit), lambda chars, p, seed, j: op("delete", p, p + 1, F.get(chars, p), F.lit(""), index=j)),
+    Strategy("swap", _swap_places, lambda chars, p, seed, j: op("replace", p, p + 2, F.concat(F.get(chars, p), F.get(chars, p + 1)), F.concat(F.get(chars, p + 1), F.get(chars, p)), index=j)),
     Strategy("add_noise", lambda text, chars, unit: _in_class(text, unit), _noise),
-    Strategy("red_char", lambda text, chars, unit: _in_class(text, unit), lambda chars, p, seed, j: op("duplicate", p, p + 1, F.get(chars, p), F.get(chars, p))),
+    Strategy("red_char", lambda text, chars, unit: _in_class(text, unit), lambda chars, p, seed, j: op("duplicate", p, p + 1, F.get(chars, p), F.get(chars, p), index=j)),
 ]}
 
 
@@ -134,9 +134,10 @@ def word_ops(text: Column, seed: Column, level: Column, unit: str) -> Column:
     return _let(words, build)
 
 
-def perturb(df: DataFrame, strategy: str, text: str = "text_a", base_seed: int = BASE_SEED, unit: str = "letter", levels: list[str] | None = None) -> DataFrame:
+def perturb(df: DataFrame, strategy: str, text: str = "text_a", base_seed: int = BASE_SEED, unit: str = "letter", levels: list[str] | None = None, with_text: bool = True) -> DataFrame:
     """Each row at each level, made from the clean text: adds level, seed, ops, change_count, corrupted, status.
 
+    ``with_text=False`` leaves ``corrupted`` null, for counts of edits.
     ``df`` needs dataset_name and sample_id.  Null texts and texts without an eligible place: NOT_APPLIED, no operations.
     """
     pattern, t, own = UNIT[unit], F.coalesce(F.col(text), F.lit("")), df.columns
@@ -149,9 +150,9 @@ def perturb(df: DataFrame, strategy: str, text: str = "text_a", base_seed: int =
         s, n = CHAR_STRATEGIES[strategy], F.size("__p")
         rows = rows.withColumn("__p", s.places(F.col("__t"), F.col("__c"), pattern)).withColumn("__n", F.length("__t"))
         rows = rows.withColumns({f"__r_{x}": stratified(F.col(f"__s_{x}"), n, budget(strategy, lit[x], n, F.col("__n"))) for x in names})
-        ops = {x: reindex(_edits(s, f"__r_{x}", f"__s_{x}")) for x in names}
+        ops = {x: _edits(s, f"__r_{x}", f"__s_{x}") for x in names}
     rows = rows.withColumns({f"__o_{x}": ops[x] for x in names})
-    each = [F.struct(lit[x].alias("level"), F.col(f"__s_{x}").alias("seed"), F.col(f"__o_{x}").alias("ops"), F.when(F.size(f"__o_{x}") > 0, apply_disjoint(F.col("__t"), F.col("__c"), F.col(f"__o_{x}"))).alias("corrupted")) for x in names]
+    each = [F.struct(lit[x].alias("level"), F.col(f"__s_{x}").alias("seed"), F.col(f"__o_{x}").alias("ops"), (F.when(F.size(f"__o_{x}") > 0, apply_disjoint(F.col("__t"), F.col("__c"), F.col(f"__o_{x}"))) if with_text else F.lit(None).cast("string")).alias("corrupted")) for x in names]
     # levels become rows only now, so that what they share is neither computed nor copied three times
     rows = rows.select(*own, F.inline(F.array(*each)))
     rows = rows.withColumn("change_count", F.size("ops").cast("long"))

@@ -65,7 +65,7 @@ def _(s, d):
 SELECT strategy, level, status, count(*) AS n FROM ({" UNION ALL ".join(f"SELECT '{n}' AS strategy, level, CASE WHEN change_count > 0 THEN 'APPLIED' ELSE 'NOT_APPLIED' END AS status FROM ({strategies.oracle(n)})" for n in ("red_char", "vis"))}) GROUP BY ALL""")
 def _(s, d):
     clean = fx.single(s, d).drop("gold_label")
-    both = [strategies.perturb(clean, n).select(F.lit(n).alias("strategy"), "level", "status") for n in ("red_char", "vis")]
+    both = [strategies.perturb(clean, n, with_text=False).select(F.lit(n).alias("strategy"), "level", "status") for n in ("red_char", "vis")]
     return both[0].unionByName(both[1]).groupBy("strategy", "level", "status").agg(F.count("*").alias("n"))
 
 
@@ -76,7 +76,7 @@ def _(s, d):
 
 @query("p11_edit_units", strategies.oracle("del").replace("SELECT k.sample_id, k.level, k.k::BIGINT AS change_count, corrupted_md5 FROM k LEFT JOIN z USING (sample_id, level)", "SELECT sample_id, level, k::BIGINT AS units FROM k"))
 def _(s, d):
-    return strategies.perturb(fx.single(s, d).drop("gold_label"), "del").select("sample_id", "level", edits.edit_units(F.col("ops")).cast("long").alias("units"))
+    return strategies.perturb(fx.single(s, d).drop("gold_label"), "del", with_text=False).select("sample_id", "level", edits.edit_units(F.col("ops")).cast("long").alias("units"))
 
 
 @query("p16_apply_ops", _with(fx.PAIRS, "SELECT sample_id, 'X' || substr(text_a, 2, 2) || substr(text_a, 3, 1) || '+' || substr(text_a, 4, 1) || substr(text_a, 6) AS edited FROM pairs WHERE length(text_a) >= 5"))
@@ -88,7 +88,7 @@ def _(s, d):
 
 @query("p17_redacted_trace", strategies.oracle("vis").replace("SELECT k.sample_id, k.level, k.k::BIGINT AS change_count, corrupted_md5 FROM k LEFT JOIN z USING (sample_id, level)", "SELECT sample_id, level, j::BIGINT AS op_index, 'replace' AS op_type, pos::BIGINT AS start, (pos + 1)::BIGINT AS stop FROM p"))
 def _(s, d):
-    df = strategies.perturb(fx.single(s, d).drop("gold_label"), "vis").select("sample_id", "level", F.explode(edits.redact(F.col("ops"))).alias("o"))
+    df = strategies.perturb(fx.single(s, d).drop("gold_label"), "vis", with_text=False).select("sample_id", "level", F.explode(edits.redact(F.col("ops"))).alias("o"))
     return df.select("sample_id", "level", "o.op_index", "o.op_type", "o.start", F.col("o.end").alias("stop"))
 
 
@@ -644,7 +644,7 @@ _STATS = f"changes AS ({strategies.oracle('del')}), stats AS (SELECT level, coun
 
 
 def _stats(s, d):
-    return audit.change_stats(strategies.perturb(fx.single(s, d).drop("gold_label"), "del").withColumn("strategy", F.lit("del")).select("strategy", "level", "change_count"), ["strategy", "level"])
+    return audit.change_stats(strategies.perturb(fx.single(s, d).drop("gold_label"), "del", with_text=False).withColumn("strategy", F.lit("del")).select("strategy", "level", "change_count"), ["strategy", "level"])
 
 
 @query("g12_change_stats", _with(_STATS, "SELECT 'del' AS strategy, * FROM stats"))
