@@ -11,7 +11,7 @@ from ..functions.plan import opaque
 from ..functions.text import UNIT
 from ..schema import LEVELS, STRATEGIES
 from .assign import assign_balanced, eligible
-from .strategies import BASE_SEED, CHAR_STRATEGIES, budget, word_ops
+from .strategies import BASE_SEED, CHAR_STRATEGIES, budget, word_ops, words_and_gaps
 
 
 def _by_strategy(strategy: Column, values: dict[str, Column]) -> Column:
@@ -36,10 +36,12 @@ def perturb_assigned(df: DataFrame, text: str = "text_a", base_seed: int = BASE_
     rows = rows.withColumn("seed", row_seed(F.lit(base_seed), F.col("dataset_name"), F.col("sample_id"), s, F.col("level")))
     n = F.size("__p")
     rows = rows.withColumn("__r", stratified(F.col("seed"), n, _by_strategy(s, {x: budget(x, F.col("level"), n, F.length(t)) for x in CHAR_STRATEGIES})))
+    rows = rows.withColumns({c: F.when(s == "red_word", v) for c, v in words_and_gaps(t, pattern).items()})
+    words = word_ops(F.coalesce("__w", F.array().cast("array<string>")), F.coalesce("__g", F.array().cast("array<string>")), F.length(t), F.col("seed"), F.col("level"))
     ops = {x: _edit(st, "__r") for x, st in CHAR_STRATEGIES.items()}
-    rows = rows.withColumn("ops", opaque(F.coalesce(_by_strategy(s, ops | {"red_word": word_ops(t, F.col("seed"), F.col("level"), pattern)}), F.filter(word_ops(F.lit(""), F.lit(0), F.col("level"), pattern), lambda o: F.lit(False)))))
+    rows = rows.withColumn("ops", opaque(F.coalesce(_by_strategy(s, ops | {"red_word": words}), F.filter(words, lambda o: F.lit(False)))))
     rows = rows.withColumn("change_count", F.size("ops").cast("long")).withColumn("corrupted", F.when(F.col("change_count") > 0, apply_disjoint(F.col("__t"), F.col("__c"), F.col("ops"))))
-    return rows.withColumn("status", F.when(F.col("change_count") > 0, "APPLIED").otherwise("NOT_APPLIED")).drop("__t", "__c", "__p", "__r")
+    return rows.withColumn("status", F.when(F.col("change_count") > 0, "APPLIED").otherwise("NOT_APPLIED")).drop("__t", "__c", "__p", "__r", "__w", "__g")
 
 
 def _edit(strategy, ranks: str) -> Column:

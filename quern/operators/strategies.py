@@ -117,21 +117,20 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def word_ops(text: Column, seed: Column, level: Column, unit: str) -> Column:
-    """Repeats whole words: runs of the unit's characters."""
-    words, gaps = F.regexp_extract_all(text, F.lit(f"({unit}+)"), 1), F.split(text, f"{unit}+")
+def word_ops(words: Column, gaps: Column, length: Column, seed: Column, level: Column) -> Column:
+    """Repeats whole words: runs of the unit's characters; ``gaps`` is what stands before, between and after them."""
+    n = F.size(words)
 
-    def build(w: Column) -> Column:
-        n = F.size(w)
+    def one(r: Column) -> Column:
+        start = F.length(F.array_join(F.slice(words, F.lit(1), r), "")) + F.length(F.array_join(F.slice(gaps, F.lit(1), r + 1), ""))
+        word = F.get(words, r)
+        return op("duplicate", start, start + F.length(word), word, word, unit="word", metadata=F.create_map(F.lit("candidate_count"), n.cast("string")))
 
-        def one(r: Column) -> Column:
-            start = F.length(F.array_join(F.slice(w, F.lit(1), r), "")) + F.length(F.array_join(F.slice(gaps, F.lit(1), r + 1), ""))
-            word = F.get(w, r)
-            return op("duplicate", start, start + F.length(word), word, word, unit="word", metadata=F.create_map(F.lit("candidate_count"), n.cast("string")))
+    return reindex(F.transform(stratified(seed, n, budget("red_word", level, n, length)), one))
 
-        return reindex(F.transform(stratified(seed, n, budget("red_word", level, n, F.length(text))), one))
 
-    return _let(words, build)
+def words_and_gaps(text: Column, unit: str) -> dict[str, Column]:
+    return {"__w": F.regexp_extract_all(text, F.lit(f"({unit}+)"), 1), "__g": F.split(text, f"{unit}+")}
 
 
 def perturb(df: DataFrame, strategy: str, text: str = "text_a", base_seed: int = BASE_SEED, unit: str = "letter", levels: list[str] | None = None, with_text: bool = True) -> DataFrame:
@@ -145,7 +144,8 @@ def perturb(df: DataFrame, strategy: str, text: str = "text_a", base_seed: int =
     rows = df.withColumn("__t", t).withColumn("__c", F.split("__t", ""))
     rows = rows.withColumns({f"__s_{x}": row_seed(F.lit(base_seed), F.col("dataset_name"), F.col("sample_id"), F.lit(strategy), lit[x]) for x in names})
     if strategy == "red_word":
-        ops = {x: word_ops(F.col("__t"), F.col(f"__s_{x}"), lit[x], pattern) for x in names}
+        rows = rows.withColumns(words_and_gaps(F.col("__t"), pattern))
+        ops = {x: word_ops(F.col("__w"), F.col("__g"), F.length("__t"), F.col(f"__s_{x}"), lit[x]) for x in names}
     else:
         s, n = CHAR_STRATEGIES[strategy], F.size("__p")
         rows = rows.withColumn("__p", s.places(F.col("__t"), F.col("__c"), pattern)).withColumn("__n", F.length("__t"))
