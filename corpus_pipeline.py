@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm import language_id, mixing, near_dedup, piece_dropout, quality_rules
 from quern.llm.common import materialize, table
@@ -56,8 +57,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of every document, with merge-dropout."""
-    return piece_dropout.encode(docs)
+    """SentencePiece ids of every document, with merge-dropout; copies that the mix made are told apart by numbers, so each is cut by its own draws.
+
+    Rows of one id and text are the same, so it doesn't matter which one gets which number.
+    """
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    return piece_dropout.encode(docs.select("doc_id", "text", (F.row_number().over(same) - 1).alias("copy")), copy="copy")
 
 
 STAGES = [("language_id", languages), ("quality_rules", quality), ("near_duplicates", near_duplicates), ("mixing", mix), ("sentencepiece", encode)]
