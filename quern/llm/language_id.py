@@ -140,9 +140,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Network | None:
     """A network from a bounded sample of ``docs``; None where no language is left to learn.
 
-    The sample: for each language the PER_LANGUAGE ids of least hash outside the held-out part (languages: the MAX_LANGUAGES most frequent).
+    The sample: for each language the PER_LANGUAGE ids of least hash outside the held-out part whose excerpt has a letter (languages: the MAX_LANGUAGES most frequent).
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))  # the picks below don't read texts
+    rows = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & _has_letter(F.col(text)))
     langs = [r[0] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()]
     if not langs:
         return None
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     chosen = sorted({tuple(r) for r in chosen.collect()}, key=lambda r: (r[1], r[0], r[2]))
     languages, x, y = sorted(langs), [], []
     for name, _, t in chosen:
-        if name in languages and any(c.isalpha() for c in t):
+        if name in languages:
             own = windows_of(t.encode("utf-8", "surrogatepass"))
             for k in np.unique(np.linspace(0, len(own) - 1, TRAIN_WINDOWS).astype(int)):
                 x.append(own[k])
@@ -164,6 +164,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     return train(np.stack(x), np.array(y), languages) if x else None
 
 
+def _has_letter(text: Column) -> Column:
+    """Whether training can use the text: its excerpt has a letter; false for null."""
+    return F.coalesce(_excerpt(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def _excerpt(text: Column) -> Column:
     """TRAIN_BYTES characters for training, from the head and the tail; predictions always use whole texts."""
     half = TRAIN_BYTES // 2

@@ -39,6 +39,14 @@ def test_windows_cover_the_text():
     assert seen == set(range(len(t))) and len(L.windows_of(b"")) == 1
 
 
+def test_fit_takes_only_texts_with_letters(docs):
+    good = corpus(240)
+    junk = [(10_000 + i, [None, "", " 12, 34!"][i % 3], lang) for i, (_, _, lang) in enumerate(corpus(6000))]
+    net, plain = L.fit(docs(good + junk)), L.fit(docs(good))
+    assert net.languages == plain.languages and all((a == b).all() for a, b in zip(net.params(), plain.params(), strict=True))
+    assert L.fit(docs([(i, None, "en") for i in range(20)])) is None
+
+
 def test_held_out_accuracy_and_awkward_rows(docs, awkward, empty):
     df = docs(corpus(600))
     net = L.fit(df)
