@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space between words for every operator but the licence scan (see ``licenses``).
@@ -17,12 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a local master may go without that setting (tests): it gets a temporary folder, one for each application.  On a cluster
+    a machine's own folder would lose rows, so an unset one is an error there.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quern-")
+        path = _LOCAL[context.applicationId]
     return path.rstrip("/")
 
 
@@ -43,6 +55,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, by: list[Column], name: str) -> DataFrame:
+    """``df`` (a small number of narrow columns) with ``name``: each row's place from 0 in the order of ``by`` over the whole table.
+
+    Rows are dealt by ranges and numbered within each; only the counts of ranges are summed in one task.  ``by`` should tell rows apart.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("__p", F.shiftright("__m", 33)).withColumn("__k", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = rows.groupBy(F.col("__p").alias("__q")).agg(F.count("*").alias("__n"))
+    before = counts.select("__q", (F.sum("__n").over(Window.orderBy("__q")) - F.col("__n")).alias("__b"))  # a row for each range
+    return rows.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn(name, F.col("__b") + F.col("__k")).drop("__m", "__p", "__k", "__q", "__b")
+
+
 def _literal(value) -> str:
     if value is None:
         return "NULL"

@@ -5,7 +5,7 @@ rule.  Policies are versioned sets of bits and are applied to the stored bits; `
 tells, from bitwise aggregates of the ledger alone, what each rule of a policy rejects by itself.
 
 Everything is computed within its row (no shuffle): word windows are 64-bit hashes, their
-repeats are found by sorting one array of numbers per text that has any repeat at all.
+repeats are found by sorting one array of (hash, place) per text that has any repeat at all.
 """
 
 from __future__ import annotations
@@ -42,24 +42,20 @@ def _windows(words: Column) -> Column:
 def _covered(windows: Column) -> Column:
     """Words within windows that occur twice or more.
 
-    Window starts are packed below the hash's high bits, sorted as plain numbers, and neighbours are confirmed on the
-    whole hash.  The sorted starts of repeated windows then cover min(distance, WINDOW) words each.
+    (hash, start) pairs are sorted, so that equal windows stand side by side however many there are; the sorted starts of repeated windows then cover
+    min(distance, WINDOW) words each.
     """
-    n = F.size(windows)
-    bits = F.ceil(F.log2(n + F.lit(1))).cast("int")
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - F.lit(1)
 
-    def starts(mask: Column) -> Column:
-        packed = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
-        at = lambda s, i: F.get(s, i).bitwiseAND(mask).cast("int")
-        same = lambda s, i, j: F.coalesce(F.get(windows, at(s, i)) == F.get(windows, at(s, j)), F.lit(False))
-        return let(packed, lambda s: F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: same(s, i, i - 1) | same(s, i, i + 1)), lambda i: at(s, i))))
+    def starts(s: Column) -> Column:
+        same = lambda i, j: F.coalesce(F.get(s, i)["h"] == F.get(s, j)["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: same(i, i - 1) | same(i, i + 1)), lambda i: F.get(s, i)["i"]))
 
     def total(p: Column) -> Column:
         step = F.transform(p, lambda x, i: F.least(F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)), F.lit(WINDOW)))
         return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return let(low, lambda mask: let(starts(mask), total))
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return let(let(pairs, starts), total)
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:

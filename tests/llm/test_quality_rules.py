@@ -38,3 +38,9 @@ def test_policies_and_ablation(spark, docs):
     assert ab["symbols"].n_kept == 1 and ab["symbols"].n_kept_without == 1 + ab["symbols"].n_only
     assert all(r.n_fail == 0 for r in Q.ablation(led.limit(0), "full-1").collect())
     assert Q.ledger(docs([])).count() == 0
+
+
+def test_equal_windows_meet_though_others_stand_between(spark):
+    windows = [([4, 5, 4], 7), ([4, 5, 6, 7, 4, 5], 10), ([1, 2, 3], 0), ([9, 9], 6), ([8, 1, 8, 1, 8, 1, 8], 11), ([3] + list(range(10, 500)) + [3], 10)]
+    df = spark.createDataFrame([(w, n) for w, n in windows], "w array<long>, n int")
+    assert all(r.got == r.n for r in df.select("n", Q._covered(F.col("w")).alias("got")).collect())
