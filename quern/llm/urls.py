@@ -1,7 +1,8 @@
 """URL filter: host-suffix and path-prefix expressions, joined on short hash prefixes.
 
-A url expands into every (host suffix, path prefix) pair that a rule could name, plus one
-expression that stands for the default rule.  Expressions meet rules on the first 8 hex digits
+A url expands into the (host suffix, path prefix) pairs that a rule could name, plus one
+expression that stands for the default rule: only suffixes of as many labels and prefixes of such lengths
+as rules have, so that a url of many labels and slashes costs no more than the rules ask for.  Expressions meet rules on the first 8 hex digits
 of their SHA-256; the whole digest confirms, and the longest rule wins.  Rules are broadcast up
 to ``MAX_BROADCAST_RULES``; beyond that rules are copied over ``salts`` and each url row
 picks one salt, so that a host with a third of all rows is spread over as many tasks.
@@ -45,10 +46,31 @@ def rules_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     return values(spark, rows, {"verdict": "string", "rule": "string", "host": "string", "path": "string"})
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and all its parent domains."""
-    parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+def _shapes(rules: DataFrame) -> tuple[int, dict[int, tuple[list[int], list[int]]]]:
+    """The number of rules; number of host labels -> (path lengths of rules that end at '/', path lengths of other rules).
+
+    At most one entry for each number of labels and length: sets of small integers, however many rules there are.
+    """
+    total, out = 0, {}
+    shape = [F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("n"), (~F.endswith("path", F.lit("/"))).cast("int").alias("odd")]
+    for labels, n, odd, k in sorted(map(tuple, rules.groupBy(*shape).agg(F.count("*")).collect())):
+        out.setdefault(labels, ([], []))[odd].append(n)
+        total += k
+    return total, out
+
+
+def _joined(suffix: Column, path: Column, lengths: Column) -> Column:
+    return F.transform(lengths, lambda i: F.concat(suffix, F.lit(JOINER), F.substring(path, F.lit(1), i)))
+
+
+def _expressions(host: Column, path: Column, shapes: dict[int, tuple[list[int], list[int]]]) -> Column:
+    """The expressions of a url that rules of these shapes could be equal to."""
+    labels, out = F.regexp_count(host, F.lit(r"\.")) + 1, []
+    for n, (at_slash, odd) in shapes.items():
+        fit = [F.filter(F.array(*map(F.lit, at_slash)), lambda i: F.substring(path, i, F.lit(1)) == "/")] if at_slash else []
+        fit += [F.filter(F.array(*map(F.lit, odd)), lambda i: i <= F.length(path))] if odd else []
+        out.append(F.when(labels >= n, _joined(F.substring_index(host, ".", -n), path, F.concat(*fit))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *out))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, url: str = "url", id_col: str = "page_id", salts: int = SALTS) -> DataFrame:
@@ -56,11 +78,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, ur
 
     Among the rules that fit, the longest (host and path together) wins, then the longer host,
     then block over allow.  Null or repeated ids are fine; extra columns are dropped.
-    Path lengths are expanded at '/' and at the whole path, and at the lengths of rules that end elsewhere
-    (a set of integers read from the rules).
+    A url of any length costs as many expressions as the rules have shapes (numbers of labels and lengths of paths) that it fits.
     """
-    odd = [r[0] for r in rules.where("path not like '%/'").select(F.length("path")).distinct().collect()]
-    n = rules.count()
+    n, shapes = _shapes(rules)
     digest = F.sha2(F.concat("host", F.lit(JOINER), "path"), 256)
     keyed = rules.select(
         "verdict", "rule", (F.length("host") + F.length("path")).alias("len"), F.length("host").alias("host_len"), digest.alias("rule_digest")
@@ -70,12 +90,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, ur
     u = F.col("__u")
     rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text_or_empty(url).alias("__u"))
     rows = rows.select("rid", "id", host_of(u).alias("host"), path_of(u).alias("path"))
-    p = F.col("path")
-    slashes = F.filter(F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1))), lambda i: F.substring(p, i, F.lit(1)) == "/")
-    lengths = F.array_distinct(F.concat(slashes, F.array(F.length(p)), F.filter(F.array(*[F.lit(x) for x in odd]) if odd else F.array().cast("array<int>"), lambda i: i <= F.length(p))))
-    paths = F.transform(lengths, lambda i: F.substring(p, F.lit(1), i))
-    both = F.flatten(F.transform(_suffixes(F.col("host")), lambda h: F.transform(paths, lambda x: F.concat(h, F.lit(JOINER), x))))
-    each = rows.select("rid", "id", "host", "path", F.explode(F.concat(F.array(F.lit("")), F.array_distinct(both))).alias("expression"))
+    each = rows.select("rid", "id", "host", "path", F.explode(_expressions(F.col("host"), F.col("path"), shapes)).alias("expression"))
     each = each.select("rid", "id", "host", "path", F.sha2("expression", 256).alias("digest")).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
     if n <= MAX_BROADCAST_RULES:
         met = each.join(F.broadcast(keyed), "prefix")

@@ -41,3 +41,13 @@ def test_repeated_rows_null_ids_and_empty(spark):
     df = spark.createDataFrame([(None, "http://x.com/"), (None, "http://x.com/"), (1, None)], "page_id long, url string")
     assert U.judge(df, U.rules_table(spark, U.RULES)).count() == 3
     assert U.judge(df.limit(0), U.rules_table(spark, U.RULES)).count() == 0
+
+
+def test_long_urls_cost_what_the_rules_ask_for(spark):
+    url = "http://" + "a." * 150 + "example.com/en/" + "x/" * 20_000
+    df = spark.createDataFrame([(i, url) for i in range(200)], "page_id long, url string")
+    n, shapes = U._shapes(U.rules_table(spark, U.RULES))
+    assert n == 5 and shapes == {1: ([1, 4], []), 2: ([4], []), 3: ([4], [])}
+    rows = df.select(U.host_of(U.F.col("url")).alias("h"), U.path_of(U.F.col("url")).alias("p"))
+    assert rows.select(U.F.size(U._expressions(U.F.col("h"), U.F.col("p"), shapes)).alias("n")).distinct().collect() == [(5,)]
+    assert {(r.rule, r.verdict) for r in U.judge(df, U.rules_table(spark, U.RULES)).collect()} == {brute(url, U.RULES)[2:]}
