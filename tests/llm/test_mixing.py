@@ -48,6 +48,38 @@ def test_targets_and_selection(spark):
         assert abs(taken[s] - want[s]) <= largest[s]
 
 
+def taken_and_targets(got):
+    taken, target, largest = {}, {}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.copies * r.size
+        target[r.source], largest[r.source] = r.target, max(largest.get(r.source, 0), r.size)
+    return all(abs(taken[s] - target[s]) <= largest[s] for s in taken), taken
+
+
+def test_rows_that_tie_are_taken_up_to_the_target(spark):
+    """Null ids, one id over and over, and rows that are alike in everything, each a third of a source or all of it."""
+    alike, mixed = [10] * 600, [1 + i % 9 for i in range(600)]
+    for ids, sizes in (([None] * 600, alike), ([7] * 600, mixed), ([None] * 200 + [7] * 200 + list(range(10, 210)), alike)):
+        data = [(i, s, n) for s in ("a", "b", None) for i, n in zip(ids, sizes, strict=True)]
+        df = spark.createDataFrame(data, "doc_id long, source string, size long")
+        assert taken_and_targets(M.allocate(df).collect())[0]
+    assert taken_and_targets(M.allocate(df).collect()) == taken_and_targets(M.allocate(df.repartition(5)).collect())
+
+
+def test_texts_of_one_id_draw_numbers_of_their_own(docs):
+    df = M.sized(docs([(None if i % 2 else 5, "word " * 9 + str(i), "en", "abc"[i % 3]) for i in range(900)]))
+    got = M.allocate(df, draw="draw", keep=("text",)).collect()
+    assert taken_and_targets(got)[0] and len({r.text for r in got}) == 900
+    assert {(r.source, r.copies) for r in got} == {(r.source, r.copies) for r in M.allocate(df.repartition(3), draw="draw").collect()}
+
+
+def test_levels_of_many_sources(spark):
+    sizes = {f"s{i:03}": (i * 37 % 101) ** 2 + (i == 7) for i in range(400)}
+    got = {r.source: r.target for r in M.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    want = water_fill(sizes)
+    assert all(math.isclose(got[s], want[s]) for s in sizes)
+
+
 def test_sizes_and_awkward_rows(awkward, empty):
     from quern.llm.common import materialize
 
