@@ -46,14 +46,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes (0, 1 or 2), as rows.
 
-    Copies are allotted by id; rows without id draw one number for each source and size.
+    Rows are allotted one by one, whether their ids are null, repeated or not; documents without words go.  Texts are written once with their numbers and never shuffled.
     """
-    sizes = materialize(mixing.sized(docs).select("doc_id", "source", "size"), "pipe-sizes")
-    copies = mixing.allocate(sizes).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    copies = copies.select(*[F.col(c).alias(f"m_{c}") for c in ("doc_id", "source", "size", "copies")])
-    rows = mixing.sized(docs.select(*COLUMNS))
-    same = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size"))
-    return rows.join(copies, same).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("m_copies")))).select(*COLUMNS)
+    taken = mixing.allocate(mixing.sized(docs.select(*COLUMNS)), draw="draw", keep=("text", "lang", "n_chars"))
+    return taken.where("copies > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
