@@ -1,33 +1,35 @@
 """Language identification by a byte convolutional network, trained here in numpy.
 
 A text becomes fixed-length windows of its lower-cased UTF-8 bytes that overlap by the widest filter; each byte is embedded,
-filters of several widths run over the window with a stride of two, each is max-pooled, and a softmax layer gives
+filters of several widths run over every place of the window, each is max-pooled, and a softmax layer gives
 the languages.  A text's prediction is the mean over all its windows, weighted by their bytes: whole texts, never prefixes.
 
-Training uses at most ``PER_LANGUAGE`` documents for each language and ``TRAIN_WINDOWS`` windows of each, drawn by a hash of the id.
-That sample is the only thing the driver gathers; the network has a fixed size.
+Training uses a bounded sample of documents: ``PER_LANGUAGE`` of each language, of however many languages there are (fewer of each where that would be more than
+``MAX_DOCUMENTS``), drawn by a hash of id and text.  Each epoch sees ``TRAIN_WINDOWS`` windows of a document, others each time, drawn over its whole text; a document's windows are cut out
+where it is read, and only those that some epoch sees reach the driver.  The network's size depends on the number of languages alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import materialize, table
 
-WINDOW, STRIDE = 256, 2
+WINDOW = 256
+#: Ascending; a filter's bytes are looked up two at a time.
 WIDTHS, FILTERS, EMBED = (3, 4, 6), 12, 8
-PER_LANGUAGE, TRAIN_WINDOWS, MAX_LANGUAGES = 240, 4, 64
-#: Bytes of text that a training document sends to the driver.
-TRAIN_BYTES = 8192
+#: Bounds of the training sample: documents of a language, of all languages, and windows of a document that an epoch sees.
+PER_LANGUAGE, MAX_DOCUMENTS, TRAIN_WINDOWS = 240, 20_000, 4
 EPOCHS, BATCH, RATE = 6, 64, 5e-3
-HOP = WINDOW - max(WIDTHS) + STRIDE
+HOP = WINDOW - max(WIDTHS) + 1
 UNDETERMINED = "und"
 #: A document is rejected by the filter below this score.
 MIN_SCORE = 0.4
@@ -50,6 +52,11 @@ class Network:
     biases: list[np.ndarray]
     out: np.ndarray  # (len(WIDTHS) * FILTERS, languages)
     out_bias: np.ndarray
+    looked_up: list[tuple[int, int, np.ndarray]] | None = None
+
+    def ready(self) -> Network:
+        """The same, with its look-up tables made once: parameters must not change any more."""
+        return replace(self, looked_up=self._pairs())
 
     def params(self) -> list[np.ndarray]:
         return [self.embed, *self.filters, *self.biases, self.out, self.out_bias]
@@ -65,16 +72,38 @@ class Network:
 
     def _fields(self, e: np.ndarray, w: int) -> np.ndarray:
         """(n * positions, w * EMBED): what each filter position sees."""
-        n = len(e)
-        places = (WINDOW - w) // STRIDE + 1
-        s = e.strides
-        view = np.lib.stride_tricks.as_strided(e, (n, places, w * EMBED), (s[0], s[1] * STRIDE, s[2]))
+        n, places, s = len(e), WINDOW - w + 1, e.strides
+        view = np.lib.stride_tricks.as_strided(e, (n, places, w * EMBED), (s[0], s[1], s[2]))
         return np.ascontiguousarray(view).reshape(n * places, w * EMBED)
 
-    def pool(self, x: np.ndarray) -> np.ndarray:
+    def _pairs(self) -> list[tuple[int, int, np.ndarray]]:
+        """(offset, first column, table): what two bytes at this offset from a filter's place add to the responses of all filters that reach so far.
+
+        A filter is linear in its bytes' embeddings, so its response is the sum of three such look-ups at most.
+        """
+        out = []
+        for at in range(0, max(WIDTHS), 2):
+            reach = [i for i, w in enumerate(WIDTHS) if w > at]
+            cols = [self._tap(i, at)[:, None, :] + self._tap(i, at + 1)[None, :, :] for i in reach]
+            out.append((at, reach[0] * FILTERS, np.concatenate(cols, axis=2).reshape(1 << 16, -1)))
+        return out
+
+    def _tap(self, i: int, k: int) -> np.ndarray:
+        """(256, FILTERS): what each byte at place k adds to the filters of width i."""
+        return self.embed @ self.filters[i][k * EMBED : (k + 1) * EMBED] if k < WIDTHS[i] else np.zeros((256, FILTERS), np.float32)
+
+    def pool(self, x: np.ndarray, step: int = 32) -> np.ndarray:
         """(n, features) of (n, WINDOW) bytes: the greatest response of each filter, cut at 0."""
-        e = self.embed[x]
-        return np.concatenate([np.maximum((self._fields(e, w) @ f).reshape(len(x), -1, FILTERS).max(axis=1) + b, 0) for w, f, b in zip(WIDTHS, self.filters, self.biases, strict=True)], axis=1)
+        pairs, places, out = self._pairs() if self.looked_up is None else self.looked_up, WINDOW - WIDTHS[0] + 1, []
+        for k in range(0, len(x), step):
+            wide = np.zeros((len(x[k : k + step]), WINDOW + max(WIDTHS)), np.uint16)
+            wide[:, :WINDOW] = x[k : k + step]
+            two = wide[:, :-1] << 8 | wide[:, 1:]
+            r = pairs[0][2][two[:, :places]]
+            for at, first, t in pairs[1:]:
+                r[:, :, first:] += t[two[:, at : at + places]]
+            out.append(np.concatenate([r[:, : WINDOW - w + 1, i * FILTERS : (i + 1) * FILTERS].max(axis=1) for i, w in enumerate(WIDTHS)], axis=1))
+        return np.maximum(np.concatenate(out) + np.concatenate(self.biases), 0)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return _softmax(self.pool(x) @ self.out + self.out_bias)
@@ -102,7 +131,7 @@ class Network:
             dfs.append(np.einsum("nf,nfk->kf", g, seen))
             dbs.append(g.sum(axis=0))
             back = (g[:, :, None] * f.T[None]).reshape(n, FILTERS, w, EMBED)
-            places = at[:, :, None] * STRIDE + np.arange(w)
+            places = at[:, :, None] + np.arange(w)
             seen_bytes = x[np.arange(n)[:, None, None], places].ravel()
             for j in range(EMBED):
                 de[:, j] += np.bincount(seen_bytes, back[..., j].ravel(), 256)
@@ -115,14 +144,23 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 0, epochs: int = EPOCHS) -> Network:
-    """Adam over windows ``x`` with language numbers ``y``; the same input gives the same network."""
+def _epoch(owner: np.ndarray, epoch: int) -> np.ndarray:
+    """The windows that an epoch sees, of windows of these documents (numbers 0, 1, ..., those of a document side by side): the next TRAIN_WINDOWS of each, round and round."""
+    n = np.bincount(owner)
+    first = np.cumsum(n) - n
+    at = (epoch * TRAIN_WINDOWS + np.arange(TRAIN_WINDOWS)[None, :]) % np.maximum(n, 1)[:, None]
+    return (first[:, None] + at)[np.arange(TRAIN_WINDOWS)[None, :] < n[:, None]]
+
+
+def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 0, epochs: int = EPOCHS, owner: np.ndarray | None = None) -> Network:
+    """Adam over windows ``x`` with language numbers ``y`` (``owner``: their documents); the same input gives the same network."""
     net, rng = Network.new(languages, seed), np.random.default_rng(seed)
+    owner = np.arange(len(x)) if owner is None else owner
     m = [np.zeros_like(p) for p in net.params()]
     v = [np.zeros_like(p) for p in net.params()]
     t = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(x))
+    for k in range(epochs):
+        order = rng.permutation(_epoch(owner, k))
         for i in range(0, len(order), BATCH):
             own, t = order[i : i + BATCH], t + 1
             for p, g, a, b in zip(net.params(), net.gradients(x[own], y[own]), m, v, strict=True):
@@ -138,41 +176,44 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Network | None:
-    """A network from a bounded sample of ``docs``; None where no language is left to learn.
+    """A network from a bounded sample of ``docs`` (read twice); None where there is no language to learn.
 
-    The sample: for each language the PER_LANGUAGE ids of least hash outside the held-out part whose excerpt has a letter (languages: the MAX_LANGUAGES most frequent).
+    The sample: of each language the PER_LANGUAGE documents of least hash outside the held-out part whose text has a letter.  Documents are first thinned by the hash,
+    to about four times as many, so that no task ever sees a whole language; repeated rows count once.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & _has_letter(F.col(text)))
-    langs = [r[0] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()]
-    if not langs:
+    has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    counts = materialize(rows.where(has_letter).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")), "lang-counts")
+    known = counts.count()
+    if not known:
         return None
-    key = F.xxhash64(F.lit("language-id"), F.col(id_col))
-    picks = None
-    for name in langs:  # a top-k for each language: no task ever sees a whole language
-        own = rows.where(F.col(lang) == name).select(F.col(id_col).alias("pick"), key.alias("key")).orderBy("key", "pick").limit(PER_LANGUAGE)
-        picks = own if picks is None else picks.unionByName(own)
-    ids = [r[0] for r in picks.select("pick").distinct().collect()]
-    chosen = rows.where(F.col(id_col).isin(ids)).select(F.col(lang).alias("lang"), F.col(id_col).alias("id"), _excerpt(F.col(text)).alias("text"))
-    chosen = sorted({tuple(r) for r in chosen.collect()}, key=lambda r: (r[1], r[0], r[2]))
-    languages, x, y = sorted(langs), [], []
-    for name, _, t in chosen:
-        if name in languages:
-            own = windows_of(t.encode("utf-8", "surrogatepass"))
-            for k in np.unique(np.linspace(0, len(own) - 1, TRAIN_WINDOWS).astype(int)):
-                x.append(own[k])
-                y.append(languages.index(name))
-    return train(np.stack(x), np.array(y), languages) if x else None
-
-
-def _has_letter(text: Column) -> Column:
-    """Whether training can use the text: its excerpt has a letter; false for null."""
-    return F.coalesce(_excerpt(text).rlike(r"\p{L}"), F.lit(False))
-
-
-def _excerpt(text: Column) -> Column:
-    """TRAIN_BYTES characters for training, from the head and the tail; predictions always use whole texts."""
-    half = TRAIN_BYTES // 2
-    return F.when(F.length(text) <= TRAIN_BYTES, text).otherwise(F.concat(F.substring(text, 1, half), F.lit(" "), F.substring(text, -half, half)))
+    per = max(1, min(PER_LANGUAGE, MAX_DOCUMENTS // known))
+    limit = F.ceil(F.least(F.lit(1.0), 4.0 * per / F.col("n")) * float(1 << 53)).cast("long")
+    key = F.pmod(F.xxhash64(F.lit("language-id"), F.col(id_col), F.col(text)), F.lit(1 << 53))
+    near = rows.select(F.col(lang).alias("lang"), F.col(id_col).alias("id"), F.col(text).alias("text"), key.alias("key"))
+    near = near.join(counts.select("lang", limit.alias("limit")), "lang").where((F.col("key") < F.col("limit")) & F.col("text").rlike(r"\p{L}"))
+    near = near.groupBy("lang", "key", "id").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))
+    picks = near.withColumn("place", place).where(F.col("place") <= per).select("lang", "key", "text")
+    languages, x, y, owner = [], [], [], []
+    for name, _, w in sorted(map(tuple, picks.mapInArrow(_cut_windows, "lang string, key long, windows binary").collect())):
+        languages += [] if languages[-1:] == [name] else [name]
+        own = np.frombuffer(w, np.uint8).reshape(-1, WINDOW)
+        owner += [owner[-1] + 1 if owner else 0] * len(own)
+        x.append(own)
+        y += [len(languages) - 1] * len(own)
+    return train(np.concatenate(x), np.array(y), languages, owner=np.array(owner)) if x else None
+
+
+def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, key, text) with the windows that training sees instead of the text: all of them, or as many as all epochs see, drawn by the key."""
+    for batch in batches:
+        out = []
+        for key, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            w = windows_of(t.encode("utf-8", "surrogatepass"))
+            picks = np.random.default_rng(key).permutation(len(w))[: EPOCHS * TRAIN_WINDOWS]
+            out.append(w[picks].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["lang", "key", "windows"])
 
 
 def predict(docs: DataFrame, net: Network | None, text: str = "text", chunk: int = 192) -> DataFrame:
@@ -181,12 +222,12 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", chunk: int
     Null and empty texts, texts without any letter, and everything where there is no network: ``und`` with score 0.
     """
     docs = docs.drop("lang_pred", "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     names, k = docs.columns, docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
+        net = shared.value and shared.value.ready()
 
         def scores(texts: list[bytes]) -> list[np.ndarray]:
             """Mean probabilities of each text, its windows weighed by their bytes, ``chunk`` windows at a time across texts."""
