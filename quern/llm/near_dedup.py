@@ -1,19 +1,20 @@
 """Near-duplicate documents by b-bit MinHash.
 
 1. Every text becomes its set of word shingles (64-bit hashes), 128 minima, band keys and a signature that keeps the low
-   4 bits of each minimum, packed into eight longs.  Equal sets form one class; only its least id goes on.
+   4 bits of each minimum, packed into eight longs.  Equal sets form one class, which has a number; only classes go on.
 2. Classes that share a band key are candidates.  Their similarity is estimated from the signatures by bit counts and
    corrected for chance collisions (C = 1/16); pairs five deviations below the threshold go.
 3. What is left is confirmed on the full sets, computed again from the whole texts.
 4. Links are joined to connected components.
 
-No bucket is ever expanded into rows of all its pairs.  A bucket first sends one star (its least id with each member), of which the
+No bucket is ever expanded into rows of all its pairs.  A bucket first sends one star (its least class with each member), of which the
 best edge for each member is confirmed, then those that would still join two components.  Last, buckets that still hold several
-components: members outside the bucket's main component that have a plausible partner (a semi-join on the estimate) meet the
-others in blocks of bounded size, where full sets are intersected through one sorted list of shingles.  All candidate
-pairs that could change a component are so confirmed; there is no cap on bucket sizes.
+components: members outside the bucket's main component meet all members in blocks, by their signatures alone (64 bytes each); a pair whose estimate is
+plausible is confirmed on the full sets.  All candidate pairs that could change a component are so confirmed; there is no cap on bucket sizes.
 
-Texts are never shuffled as a whole: a bitmap of fixed size, made from the ids that are needed, filters them where they are read.
+Texts travel little: a bitmap, sized by the number of texts that are needed, filters them where they are read.  A star's members are dealt to cells of
+bounded size, and a cell gets the hub's text once; plausible pairs of the last step are dealt to cells of a block of texts against another, so a text is sent
+once for each block that it has a partner in, not for each pair.
 """
 
 from __future__ import annotations
@@ -34,9 +35,12 @@ LONGS = N_HASHES * BITS // 64
 #: A link of exactly the threshold's similarity may be missed by the bands with this probability at most.
 MISS = 1e-6
 DEVIATIONS = 5
-#: Rows in a block of the last step, and bits of the bitmap that filters texts.
-BLOCK, BITMAP_BITS = 128, 1 << 25
-CACHED_WORDS = 300_000
+#: Signatures in a block that meets another; texts in a block, and their shingles; members in a cell of a star.
+SIG_BLOCK, BLOCK, BLOCK_SHINGLES, STAR_CELL = 1024, 128, 1 << 21, 256
+#: Bits of the bitmap that filters texts: for each text that is needed, and at most.  Beyond half of that it would let most texts pass and is left out.
+BITS_EACH, MAX_BITMAP = 16, 1 << 28
+#: Words (of up to so many bytes) whose hash is kept.
+CACHED_WORDS, WORD_BYTES = 300_000, 64
 SEED = 20_24
 
 
@@ -52,9 +56,11 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= WORD_BYTES:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -108,7 +114,7 @@ def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-SKETCH = "id long, n_shingles long, digest binary, bands array<long>, sig array<long>"
+SKETCH = "id long, th long, n_shingles long, digest binary, bands array<long>, sig array<long>"
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -117,7 +123,7 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame, text: str, id_col: str, width: int, percent: int) -> DataFrame:
-    """(id, n_shingles, digest, bands, sig) of every row; without words no digest and empty lists."""
+    """(id, th, n_shingles, digest, bands, sig) of every row, th being a hash of the text; without words no digest and empty lists."""
     bands, rows = bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,11 +145,11 @@ def sketch(docs: DataFrame, text: str, id_col: str, width: int, percent: int) ->
                     low.append(m)
                 m = np.stack(low)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(band_keys(m, bands, rows)), _lists(pack(m))],
-                    names=["id", "n_shingles", "digest", "bands", "sig"],
+                    [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(band_keys(m, bands, rows)), _lists(pack(m))],
+                    names=["id", "th", "n_shingles", "digest", "bands", "sig"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).mapInArrow(run, SKETCH)
 
 
 def estimate(a: str, b: str) -> Column:
@@ -160,33 +166,102 @@ def least_estimate(percent: int) -> float:
     return t - DEVIATIONS * math.sqrt(p * (1 - p) / N_HASHES) / (1 - c)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those (a, b) whose full sets have 100 * intersection >= percent * union.  ``texts``: id, text."""
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def confirm_stars(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those (a, b) whose full sets are alike.  ``texts``: node, text.
+
+    The partners of one ``a`` are dealt to cells of about STAR_CELL; a cell is a stretch of sorted rows, the text of ``a`` first, so a task holds one set at a time.
+    """
+    crowded = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_CELL).cast("int").alias("cells")).where("cells > 1")
+    each = pairs.select("a", "b").join(crowded, "a", "left").withColumn("cell", F.coalesce(F.pmod(F.xxhash64("b"), F.col("cells")).cast("int"), F.lit(0)))
+    rows = each.select("a", "cell", F.lit(1).alias("place"), F.col("b").alias("node")).unionByName(each.select("a", "cell", F.lit(0).alias("place"), F.col("a").alias("node")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[bytes, np.ndarray] = {}
+        hub, hub_set = None, None
         for batch in batches:
-            keep = []
-            for ta, tb in zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True):
-                two = []
-                for t in (ta.as_py() or b"", tb.as_py() or b""):
-                    if t not in last:
-                        if len(last) >= 64:
-                            last.pop(next(iter(last)))
-                        last[t] = shingle_set(t, width)
-                    two.append(last[t])
-                x, y = two
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(bool(len(x) and len(y)) and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    t_a, t_b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(t_b, "b").join(t_a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def block_links(comp: list[int], ids: list[int], sets: list[np.ndarray], is_x: list[bool], percent: int) -> list[tuple[int, int]]:
-    """Links between components, from every x to every other row, as many as it takes to join what they join."""
-    root = {c: c for c in comp}
+            a, b = [], []
+            for h, place, node, text in zip(*(batch.column(k) for k in range(3)), batch.column(3).cast(pa.binary()), strict=True):
+                own = shingle_set(text.as_py() or b"", width)
+                if place.as_py() == 0:
+                    hub, hub_set = h.as_py(), own
+                elif hub == h.as_py() and _alike(hub_set, own, percent):
+                    a.append(hub)
+                    b.append(node.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = rows.join(texts, "node").repartition("a", "cell").sortWithinPartitions("a", "cell", "place")
+    return dealt.select("a", "place", "node", "text").mapInArrow(run, "a long, b long")
+
+
+def plausible(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the packed signatures x[i], y[j] whose estimate reaches ``least_estimate``: the second half of the longs is compared only where the first leaves that open."""
+    c, ones = 2.0**-BITS, np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
+    most = math.floor(N_HASHES * (1 - c - (1 - c) * least_estimate(percent)) + 1e-9)
+
+    def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        d = a ^ b
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        return np.bitwise_count(d & ones)
+
+    out_i, out_j, half = [], [], LONGS // 2
+    for at in range(0, len(x), 128):
+        own = x[at : at + 128]
+        n = sum(differ(own[:, None, k], y[None, :, k]) for k in range(half))
+        i, j = np.nonzero(n <= most)
+        rest = n[i, j] + sum(differ(own[i, k], y[j, k]) for k in range(half, LONGS))
+        out_i.append(i[rest <= most] + at)
+        out_j.append(j[rest <= most])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def plausible_pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Pairs (main, a, b), a of ``x`` and b of ``x`` or ``y`` of the same ``main`` but another component, whose estimate is plausible; x and y: main, node, comp, sig.
+
+    Rows are cut into blocks of about SIG_BLOCK; a task sees two blocks, every pair is looked at once, and only signatures travel.
+    """
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("main").agg(F.ceil(F.count("*") / SIG_BLOCK).cast("int").alias(name))
+
+    sizes = materialize(blocks(x, "nx").join(blocks(y, "ny"), "main", "left").withColumn("ny", F.coalesce("ny", F.lit(0))), "nd-sizes")
+    own = F.pmod(F.xxhash64("node"), F.col("nx")).cast("int")
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    upto = lambda lo, hi, f: F.when(lo <= hi, F.transform(F.sequence(lo, hi), f)).otherwise(F.array().cast("array<struct<kind: string, i: int, j: int, side: int>>"))
+    me, last = F.col("own"), F.col("nx") - 1
+    cells = F.concat(upto(me, last, lambda j: cell("xx", me, j, 0)), upto(F.lit(0), me, lambda i: cell("xx", i, me, 1)), upto(F.lit(0), F.col("ny") - 1, lambda j: cell("xy", me, j, 0)))
+    xs = x.join(sizes, "main").withColumn("own", own).select("main", "node", "comp", "sig", F.inline(cells))
+    there = F.pmod(F.xxhash64("node"), F.col("ny")).cast("int")
+    ys = y.join(sizes, "main").withColumn("own", there).select("main", "node", "comp", "sig", F.inline(upto(F.lit(0), last, lambda i: cell("xy", i, me, 1))))
+
+    def run(t: pa.Table) -> pa.Table:
+        sig = t["sig"].combine_chunks()
+        sig = sig.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, LONGS)
+        node, comp, side = (t[c].to_numpy() for c in ("node", "comp", "side"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        i, j = plausible(sig[left], sig[right], percent) if len(left) and len(right) else (left[:0], right[:0])
+        i, j = left[i], right[j]
+        ok = comp[i] != comp[j]
+        if t.num_rows and t["kind"][0].as_py() == "xx" and t["i"][0].as_py() == t["j"][0].as_py():
+            ok &= node[i] < node[j]
+        return pa.table({"main": pa.array(np.full(int(ok.sum()), t["main"][0].as_py() if t.num_rows else 0), pa.int64()), "a": pa.array(node[i[ok]]), "b": pa.array(node[j[ok]])})
+
+    return xs.unionByName(ys).groupBy("main", "kind", "i", "j").applyInArrow(run, "main long, a long, b long")
+
+
+def block_links(nodes: list[int], comps: list[int], sets: list[np.ndarray], partners: list[list[int]], percent: int) -> list[tuple[int, int]]:
+    """Links between components, of every node with its partners, as many as it takes to join what they join."""
+    comp_of, set_of = dict(zip(nodes, comps, strict=True)), dict(zip(nodes, sets, strict=True))
+    root = {c: c for c in comps}
 
     def find(c: int) -> int:
         while root[c] != c:
@@ -194,63 +269,57 @@ def block_links(comp: list[int], ids: list[int], sets: list[np.ndarray], is_x: l
             c = root[c]
         return c
 
-    sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
     out = []
-    for i, s in enumerate(sets):
-        if not is_x[i] or not len(s):
-            continue
-        lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-        n = hi - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())  # the ranges lo..hi one after another
-        both = np.bincount(owner[at], minlength=len(sets))
-        for j in np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both)):
-            if (u := find(comp[i])) != (w := find(comp[j])):
+    for node, own in zip(nodes, partners, strict=True):
+        for other in own or ():
+            if (u := find(comp_of[node])) != (w := find(comp_of[other])) and _alike(set_of[node], set_of[other], percent):
                 root[max(u, w)] = min(u, w)
-                out.append((ids[i], ids[int(j)]))
+                out.append((node, other))
     return out
 
 
-def confirm_blocks(x: DataFrame, y: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between components, over all pairs of an x and a y of the same ``main``; x and y: main, id, comp.
+def confirm_blocks(pairs: DataFrame, info: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among ``pairs`` (main, a, b), enough of them to join what all of them join; info: node, comp, n_shingles.
 
-    Both sides are cut into blocks of about BLOCK rows; a task sees one block of each.
+    The nodes of each side of a ``main`` are cut into blocks of about BLOCK texts and BLOCK_SHINGLES shingles; a cell has the texts of two blocks that have a pair in it.
     """
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    def blocks(side: str, name: str) -> DataFrame:
+        own = pairs.select("main", F.col(side).alias("node")).distinct().join(info.select("node", "n_shingles"), "node")
+        return own.groupBy("main").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias(name))
 
-    sizes = materialize(blocks(x, "nx").join(blocks(y, "ny"), "main"), "nd-sizes")
-    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    xs = x.join(sizes, "main").select("main", place("nx").alias("xb"), every("ny").alias("yb"), F.lit(True).alias("is_x"), "id", "comp")
-    ys = y.join(sizes, "main").select("main", every("nx").alias("xb"), place("ny").alias("yb"), F.lit(False).alias("is_x"), "id", "comp")
+    sizes = materialize(blocks("a", "na").join(blocks("b", "nb"), "main"), "nd-blocks")
+    at = lambda side, n: F.pmod(F.xxhash64(side), F.col(n)).cast("int")
+    dealt = pairs.join(sizes, "main").select("main", at("a", "na").alias("i"), at("b", "nb").alias("j"), "a", "b")
+    left = dealt.groupBy("main", "i", "j", F.col("a").alias("node")).agg(F.collect_list("b").alias("partners"))  # of one block, so bounded
+    right = dealt.select("main", "i", "j", F.col("b").alias("node"), F.array().cast("array<long>").alias("partners")).distinct()
+    rows = left.unionByName(right).groupBy("main", "i", "j", "node").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+    rows = rows.join(info.select("node", "comp"), "node").join(texts, "node")
 
     def run(t: pa.Table) -> pa.Table:
         sets = [shingle_set(v or b"", width) for v in t["text"].cast(pa.binary()).to_pylist()]
-        found = block_links(t["comp"].to_pylist(), t["id"].to_pylist(), sets, t["is_x"].to_pylist(), percent)
+        found = block_links(t["node"].to_pylist(), t["comp"].to_pylist(), sets, t["partners"].to_pylist(), percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    rows = xs.unionByName(ys).join(texts, "id").select("main", "xb", "yb", "is_x", "id", "comp", "text")
-    return rows.groupBy("main", "xb", "yb").applyInArrow(run, "a long, b long")
+    return rows.groupBy("main", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def texts_of(source: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``source`` (id, text) that ``ids`` names, and a few others, as a written table.
+def texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of ``wanted`` (node, id, th), a written table; ``source``: id, th, text.
 
-    The ids become a bitmap of BITMAP_BITS bits, at most BITMAP_BITS / 64 rows whatever the input, which is broadcast to the scan: texts are filtered before any shuffle.
+    The wanted (id, th) become a bitmap of BITS_EACH bits for each, which is broadcast to the scan: other texts are left out before any shuffle.  Its size is checked: MAX_BITMAP bits are
+    a table of MAX_BITMAP / 64 rows.  Repeated rows of one id and text count once.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
-    words = ids.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    hit = F.expr("shiftrightunsigned(bits, cast(p % 64 as int)) & 1L") == 1
-    rows = source.withColumn("p", place).withColumn("at", (F.col("p") / 64).cast("int"))
-    return materialize(rows.join(F.broadcast(words), F.col("at") == F.col("word")).where(hit).select("id", "text"), "nd-texts")
-
-
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    n = wanted.count()
+    bits = 1 << max(16, min((max(1, n) * BITS_EACH - 1).bit_length(), MAX_BITMAP.bit_length() - 1))
+    rows = source
+    if n <= bits // 2:
+        place = F.pmod(F.xxhash64("id", "th"), F.lit(bits))
+        words = wanted.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+        hit = F.expr("shiftrightunsigned(bits, cast(p % 64 as int)) & 1L") == 1
+        rows = rows.withColumn("p", place).withColumn("at", (F.col("p") / 64).cast("int"))
+        rows = rows.join(F.broadcast(words), F.col("at") == F.col("word")).where(hit).select("id", "th", "text")
+    return materialize(rows.join(wanted, ["id", "th"]).groupBy("node").agg(F.first("text").alias("text")), "nd-texts")
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -270,50 +339,58 @@ def _labelled(df: DataFrame, labels: DataFrame, key: str, name: str) -> DataFram
     return df.join(labels.select(F.col("id").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of ``docs``: id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, percent: int = 80, rows: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: id, n_shingles, component_id (the least id of the rows that it is linked with, itself included), kept (whether that is its own).
+
+    Rows are linked by their texts: rows of one id with unlike texts belong to different groups, with the same component_id if they are the least of both.
+    Texts without words have an empty set and link with nothing.  Rows without id link with nothing, have no component and are kept.  Repeated rows are all returned.
+    ``docs`` is read again for candidates and should be a table.
 
-    Texts without words have an empty set and link with nothing.  Rows with one id are one document; rows without id
-    link with nothing, have no component and are kept.  Repeated rows are all returned.  ``docs`` is read again for candidates
-    and should be a table.
+    ``rows`` adds th (the hash of the text) and first: true for the one (id, text) that stands for its group; rows without id or words stand for themselves.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     nodes = materialize(sketch(docs, text, id_col, width, percent), "nd-nodes")
     live = nodes.where("id is not null and digest is not null")
-    classes = materialize(live.groupBy("digest").agg(F.min(F.struct("id", "bands", "sig")).alias("r")).select("digest", F.col("r.id").alias("rep"), "r.bands", "r.sig"), "nd-classes")
-    keys = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = materialize(keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"), "nd-buckets")
+    classes = live.groupBy("digest").agg(F.min(F.struct("id", "th", "n_shingles", "bands", "sig")).alias("r"))
+    classes = materialize(classes.select("digest", "r.*", F.monotonically_increasing_id().alias("node")), "nd-classes")
+    info, sigs = classes.select("node", "id", "th"), classes.select("node", "sig")
+    keys = classes.select("node", F.explode("bands").alias("key"))
+    buckets = materialize(keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"), "nd-buckets")
     inside = materialize(keys.join(buckets.select("key", "leader"), "key"), "nd-inside")
-    star = materialize(inside.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "nd-star")
-    sigs = classes.select(F.col("rep").alias("id"), "sig")
-    est = star.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
+    star = materialize(inside.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "nd-star")
+    est = star.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     floor = F.lit(least_estimate(percent))
     near = materialize(est.select("a", "b", estimate("sig_a", "sig_b").alias("est")).where(F.col("est") >= floor), "nd-near")
-    texts = texts_of(source, _ids(near))
+    both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts_of(source, materialize(both(near).join(info, "node"), "nd-wanted"))
 
     best = near.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
-    labels = _relabel(None, materialize(confirm(best, texts, width, percent), "nd-links"))
+    labels = _relabel(None, materialize(confirm_stars(best, texts, width, percent), "nd-links"))
     rest = near.join(best, ["a", "b"], "left_anti")
     rest = _labelled(_labelled(rest, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b").distinct()
-    labels = _relabel(labels, materialize(confirm(materialize(rest, "nd-rest"), texts, width, percent), "nd-links"))
+    labels = _relabel(labels, materialize(confirm_stars(materialize(rest, "nd-rest"), texts, width, percent), "nd-links"))
 
-    # buckets that still hold several components: members outside the main one against members of the others
-    here = materialize(_labelled(inside, labels, "rep", "comp"), "nd-here")
+    # buckets that still hold several components: members outside the main one against each other and against those in it
+    here = materialize(_labelled(inside, labels, "node", "comp"), "nd-here")
     mixed = here.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count("*").alias("comps"))
-    mixed = materialize(mixed.where("comps > 1"), "nd-mixed")
-    member = materialize(here.join(mixed, "key").join(sigs, F.col("rep") == F.col("id")).select("key", "rep", "comp", "main", "sig"), "nd-member")
-    x = member.where("comp <> main").select("key", "rep", "comp", "main", "sig")
-    y = member.select(F.col("key").alias("key_b"), F.col("comp").alias("comp_b"), F.col("sig").alias("sig_b"))
-    x = materialize(x.join(y, (F.col("key") == F.col("key_b")) & (F.col("comp") != F.col("comp_b")) & (estimate("sig", "sig_b") >= floor), "left_semi").drop("sig"), "nd-odd")
-    open_keys = x.select(F.col("key").alias("open_key")).distinct()
-    y = member.join(open_keys, F.col("key") == F.col("open_key"), "left_semi").select("main", F.col("rep").alias("id"), "comp").distinct()
-    x, y = materialize(x.select("main", F.col("rep").alias("id"), "comp").distinct(), "nd-x"), materialize(y, "nd-y")
-    links = confirm_blocks(x, y, texts_of(source, y.select("id").distinct()), width, percent)
+    mixed = materialize(mixed.where("comps > 1").select("key", "main"), "nd-mixed")
+    member = materialize(here.join(mixed, "key").select("main", "node", "comp").distinct().join(sigs, "node"), "nd-member")
+    pairs = materialize(plausible_pairs(member.where("comp <> main"), member.where("comp = main"), percent), "nd-plausible")
+    wanted = materialize(both(pairs).join(info, "node"), "nd-wanted")
+    comps = _labelled(classes.select("node", "n_shingles"), labels, "node", "comp")
+    links = confirm_blocks(pairs, materialize(comps.join(wanted.select("node"), "node", "left_semi"), "nd-info"), texts_of(source, wanted), width, percent)
     labels = _relabel(labels, materialize(links, "nd-links"))
 
-    found = materialize(_labelled(classes.select("digest", "rep"), labels, "rep", "component").select("digest", "component"), "nd-found")
-    out = nodes.select("id", "n_shingles", "digest").join(found, "digest", "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # a group's least (id, text) stands for it
+    grouped = labels.withColumnRenamed("id", "node").join(info, "node")
+    least = grouped.groupBy("component").agg(F.min(F.struct("id", "th")).alias("least"))
+    grouped = grouped.select("node", "component").join(least, "component").select("node", "least")
+    found = classes.select("digest", "node", "id", "th").join(grouped, "node", "left")
+    found = materialize(found.select("digest", F.coalesce("least", F.struct("id", "th")).alias("least")), "nd-found")
+    out = nodes.select("id", "th", "n_shingles", "digest").join(found, "digest", "left").withColumn("component_id", F.coalesce("least.id", "id"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    more = [F.col("th"), F.coalesce((F.col("id") == F.col("least.id")) & (F.col("th") == F.col("least.th")), F.lit(True)).alias("first")] if rows else []
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"), *more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,26 +9,29 @@ from quern.llm.components import connected_components
 
 
 def brute(rows, width, percent):
-    sets = {}
+    """(id, text) -> least id of the rows that it is linked with, None without id; each row is a document."""
+    sets = []
     for i, t in rows:
         w = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
-        s = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
-        sets.setdefault(i, []).append(s)
-    root = {i: i for i in sets}
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    flat = [(i, s) for i, v in sets.items() for s in v if i is not None and s]
-    for k, (i, s) in enumerate(flat):
-        for j, t in flat[:k]:
-            n = len(s & t)
-            if 100 * n >= percent * (len(s) + len(t) - n):
-                a, b = find(i), find(j)
+    live = [k for k, (i, _) in enumerate(rows) if i is not None and sets[k]]
+    for n, k in enumerate(live):
+        for j in live[:n]:
+            both = len(sets[k] & sets[j])
+            if 100 * both >= percent * (len(sets[k]) + len(sets[j]) - both):
+                a, b = find(k), find(j)
                 root[max(a, b)] = min(a, b)
-    return {i: (None if i is None else find(i)) for i in sets}
+    least = {}
+    for k in live:
+        least[find(k)] = min(rows[k][0], least.get(find(k), rows[k][0]))
+    return {r: None if r[0] is None else least.get(find(k), r[0]) for k, r in enumerate(rows)}
 
 
 def chain(rng, n, edits):
@@ -56,19 +60,77 @@ def test_components_match_brute_force(docs, width, percent):
     rng.shuffle(order)
     rows = [(i, texts[k]) for i, k in enumerate(order)]
     got = {r.doc_id: r for r in N.near_duplicates(docs(rows), width=width, percent=percent).collect()}
-    want = brute(rows, width, percent)
+    want = {i: c for (i, _), c in brute(rows, width, percent).items()}
     assert {i: r.component_id for i, r in got.items()} == want
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_unlike_texts_of_one_id_are_documents_of_their_own(docs):
+    rng = random.Random(11)
+    one, two = chain(rng, 3, 1), chain(rng, 3, 1)
+    rows = [(5, one[0]), (5, two[0]), (5, two[1]), (9, one[1]), (3, two[2]), (5, one[0]), (8, "a"), (8, "b"), (8, None)]
+    got = N.near_duplicates(docs(rows), rows=True).collect()
+    want = brute(rows, 5, 80)
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, want[i, t]) for i, t in rows)
+    first = [(r.doc_id, r.component_id) for r in got if r.first]
+    assert sorted(first) == [(3, 3), (5, 5), (5, 5), (8, 8), (8, 8), (8, 8)]  # the repeated row twice, as it is one (id, text)
+
+
 def test_awkward_rows_and_empty_table(awkward, empty):
     got = N.near_duplicates(awkward).collect()
-    want = brute([(r.doc_id, r.text) for r in awkward.collect()], 5, 80)
-    assert len(got) == 9 and all(r.component_id == want[r.doc_id] for r in got)
+    rows = [(r.doc_id, r.text) for r in awkward.collect()]
+    want = brute(rows, 5, 80)
+    assert len(got) == 9 and sorted(map(str, ((r.doc_id, r.component_id) for r in got))) == sorted(map(str, ((i, want[i, t]) for i, t in rows)))
     assert all(r.kept for r in got if r.doc_id is None) and {r.n_shingles for r in got if r.doc_id in (1, 2, 3)} == {0}
     assert N.near_duplicates(empty).count() == 0
 
 
+def test_small_bitmaps_cells_and_blocks_change_nothing(docs, monkeypatch):
+    rng = random.Random(8)
+    base, texts = chain(rng, 1, 0)[0].split(), []
+    for _ in range(150):  # a star with many rays, of which many are just short of a link
+        w = list(base)
+        for k in rng.sample(range(len(w)), rng.randrange(1, 12)):
+            w[k] = f"y{rng.randrange(9000)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts + chain(rng, 40, 3)))
+    for name, v in {"STAR_CELL": 4, "SIG_BLOCK": 8, "BLOCK": 4, "BLOCK_SHINGLES": 500, "MAX_BITMAP": 1 << 16, "BITS_EACH": 1}.items():
+        monkeypatch.setattr(N, name, v)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(docs(rows), width=3, percent=85).collect()}
+    assert got == {i: c for (i, _), c in brute(rows, 3, 85).items()}
+
+
+def test_a_band_with_twenty_thousand_unlike_members(spark):
+    """Signatures alone decide on the pairs of such a band; the few true links among them are found."""
+    rng, n = np.random.default_rng(2), 20_000
+    low = rng.integers(0, 1 << 32, (n, N.N_HASHES), np.uint32)
+    twins = rng.permutation(n)[:200].reshape(100, 2)
+    low[twins[:, 1]] = low[twins[:, 0]]
+    low[twins[:, 1], :6] = 7
+    sig = N.pack(low).view(np.int64)
+    at = time.time()
+    i, j = N.plausible(sig[:10_000].view(np.uint64), sig.view(np.uint64), 80)
+    assert time.time() - at < 60
+    df = spark.createDataFrame([(1, k, k, sig[k].tolist()) for k in range(n)], "main long, node long, comp long, sig array<long>")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in N.plausible_pairs(df.where("comp <> main"), df.where("comp = main"), 80).collect()}
+    assert got == {(int(min(t)), int(max(t))) for t in twins}
+
+
+def test_recall_of_planted_pairs(docs):
+    rng = random.Random(21)
+    texts, pairs = [], []
+    for k in range(400):
+        w = [f"w{rng.randrange(50_000)}" for _ in range(rng.randrange(60, 300))]
+        v = list(w)
+        for _ in range(rng.randrange(0, 3)):
+            v[rng.randrange(len(v))] = "changed"
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(w), " ".join(v)]
+    want = [p for p in pairs if len(set(brute([(0, texts[p[0]]), (1, texts[p[1]])], 5, 80).values())) == 1]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(docs(list(enumerate(texts)))).collect()}
+    assert len(want) > 300 and sum(got[a] == got[b] for a, b in want) >= 0.99 * len(want)
+
+
 def test_estimate_is_corrected_for_chance(spark):
     rng = np.random.default_rng(0)
     a, b = N._permutations()
@@ -88,10 +150,24 @@ def test_bands_lose_next_to_nothing():
         assert bands * rows <= N.N_HASHES and (1 - (p / 100) ** rows) ** bands <= N.MISS
 
 
+def test_plausible_signatures_are_those_of_the_estimate(spark):
+    rng = np.random.default_rng(3)
+    low = np.repeat(rng.integers(0, 1 << 32, (6, N.N_HASHES), np.uint32), 10, axis=0)
+    change = rng.random(low.shape) < np.linspace(0, 0.6, 60)[:, None]
+    low[change] = rng.integers(0, 1 << 32, int(change.sum()), np.uint32)
+    sig = N.pack(low)
+    df = spark.createDataFrame([(k, s.view(np.int64).tolist()) for k, s in enumerate(sig)], "k long, sig array<long>")
+    pairs = df.selectExpr("k as i", "sig as x").crossJoin(df.selectExpr("k as j", "sig as y"))
+    want = {(r.i, r.j) for r in pairs.where(N.estimate("x", "y") >= N.least_estimate(80)).collect()}
+    assert set(zip(*(x.tolist() for x in N.plausible(sig, sig, 80)), strict=True)) == want and 60 < len(want) < 3600
+
+
 def test_blocks_join_what_they_should():
     sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 3, 6, 500)]
-    assert N.block_links([1, 2, 3, 4], [1, 2, 3, 4], sets, [True, False, True, True], 85) == [(1, 2), (1, 3)]
-    assert N.block_links([1, 1, 1, 4], [1, 2, 3, 4], sets, [True] * 4, 85) == []
+    every = [[2, 3, 4], [1, 3, 4], [1, 2, 4], [1, 2, 3]]
+    assert N.block_links([1, 2, 3, 4], [1, 2, 3, 4], sets, every, 85) == [(1, 2), (1, 3)]
+    assert N.block_links([1, 2, 3, 4], [1, 1, 1, 4], sets, every, 85) == []
+    assert N.block_links([1, 2, 3, 4], [1, 2, 3, 4], sets, [[4], None, [], [2]], 85) == []
 
 
 def test_connected_components(spark):
