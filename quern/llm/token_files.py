@@ -36,8 +36,10 @@ FILE_IDS = 1 << 21
 LEVEL = 3
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Chunks in each of the two halves of an encoder's cache.
-CACHED_CHUNKS = 500_000
+#: Chunks in each of the two halves of an encoder's cache, and characters of the longest that is kept.
+CACHED_CHUNKS, CHUNK_CHARS = 500_000, 64
+#: Bytes of text in a shard: at most, and at least where there are fewer shards than shuffle partitions.
+SHARD_BYTES, LEAST_SHARD_BYTES = 1 << 28, 1 << 21
 
 
 def default_tokenizer() -> str:
@@ -203,8 +205,9 @@ class Encoder:
         fresh = [c for c in chunks if c not in known]
         known.update((c, older[c]) for c in fresh if c in older)
         new = [c for c in fresh if c not in older]
-        known.update(zip(new, self._chunks(new), strict=True))
-        blobs = list(map(known.__getitem__, chunks))
+        fresh = dict(zip(new, self._chunks(new), strict=True))
+        known.update(x for x in fresh.items() if len(x[0]) <= CHUNK_CHARS)
+        blobs = [known[c] if c in known else fresh[c] for c in chunks]
         flat = np.frombuffer(b"".join(blobs), "<u4")
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         starts = np.cumsum(sizes) - sizes
@@ -223,7 +226,7 @@ def _encoder(path: str) -> Encoder:
 def write_token_files(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", tokenizer: str | None = None, bits: bool = False, end_id: int = END_ID) -> None:
     """Tokenize whole texts and write them as files in ascending order of the id (null first; equal ids by text) below ``path``.
 
-    Null text counts as empty.  One shard for each range of ids; a shard is cut into files of about FILE_IDS ids, never within a document.
+    Null text counts as empty.  One shard for each range of ids, as many as the texts' bytes ask for; a shard is cut into files of about FILE_IDS ids, never within a document.
     """
     tokenizer = tokenizer or default_tokenizer()
 
@@ -253,7 +256,8 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", id_col: st
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     tie = F.xxhash64("text")  # spreads and orders rows of one id
-    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // SHARD_BYTES), min(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_SHARD_BYTES)))
     ordered = d.repartitionByRange(n, F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie, "text")
     ordered.mapInArrow(run, "shard int, seq int, n_ids long, content binary").write.option("compression", "none").parquet(path)
 
@@ -261,8 +265,11 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", id_col: st
 def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """One row for each document in the files: id, start (ids of all documents before it), n_tokens, ids_crc32."""
     files = spark.read.parquet(path)
-    # one row for each file: the table of offsets is as long as there are files
-    offsets = files.select("shard", "seq", "n_ids").withColumn("base", F.sum("n_ids").over(Window.orderBy("shard", "seq")) - F.col("n_ids")).drop("n_ids")
+    # sums of shards run in one task (a row for each shard), those of files within their shard
+    each = files.select("shard", "seq", "n_ids")
+    shards = each.groupBy(F.col("shard").alias("s")).agg(F.sum("n_ids").alias("n")).select("s", (F.sum("n").over(Window.orderBy("s")) - F.col("n")).alias("before"))
+    within = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("seq")) - F.col("n_ids")
+    offsets = each.withColumn("within", within).join(shards, F.col("shard") == F.col("s")).select("shard", "seq", (F.col("before") + F.col("within")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

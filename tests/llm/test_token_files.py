@@ -47,3 +47,23 @@ def test_files_of_documents(spark, awkward, empty):
     path = shared_path(spark, "test")
     T.write_token_files(empty, path)
     assert T.read_token_files(spark, path).count() == 0
+
+
+def test_shards_by_size_and_long_chunks(spark, docs, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(T, "SHARD_BYTES", 3000)
+    rng, t = random.Random(3), Tokenizer.from_file(T.default_tokenizer())
+    rows = [(i, "x" * rng.randrange(200) + " word" * rng.randrange(40)) for i in range(120)]
+    path = shared_path(spark, "test")
+    T.write_token_files(docs(rows), path)
+    assert spark.read.parquet(path).select("shard").distinct().count() > 4
+    at, want = 0, []
+    for i, text in rows:
+        n = len(t.encode(text, add_special_tokens=False).ids) + 1
+        want.append((i, at, n))
+        at += n
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in T.read_token_files(spark, path).collect()) == want
+    e = T.Encoder(T.default_tokenizer())
+    e.encode(["y" * 5000 + " z", "short words"])
+    assert max(map(len, e.known)) <= T.CHUNK_CHARS
