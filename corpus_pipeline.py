@@ -15,32 +15,43 @@ from quern.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 QUALITY_POLICY = "full-1"
+#: Up to so many (id, text) that occur several times are broadcast (three longs each).
+REPEATED_BROADCAST = 1_000_000
 #: Trained models and dropout apply to every row, so SQL cannot express the result.
 ORACLE_SQL = None
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language the network tells: not ``und``, and a score of language_id.MIN_SCORE or more."""
+    """Keeps documents whose language the network tells: not ``und``, and a score of language_id.MIN_SCORE or more.
+
+    Null, empty and letterless texts are ``und`` and go, as does everything where no row has a language to learn.  Other columns may be null; extra ones are dropped.
+    """
     net = language_id.fit(docs)
     kept = language_id.predict(docs.select(*COLUMNS), net)
     return kept.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= language_id.MIN_SCORE)).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass every rule of the quality policy."""
+    """Keeps documents that pass every rule of the quality policy.  Null and empty texts have too few words and go; extra columns are dropped, even those named like a measurement."""
     return quality_rules.ledger(docs.select(*COLUMNS)).where(~quality_rules.rejected(QUALITY_POLICY)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8): the one of least id.
 
-    Of repeated rows of one id one is kept; rows without id are all kept.
+    Unlike texts of one id all stay; of rows with one id and text one stays (the least in its other columns).  Rows without id are all kept.
     """
-    found = near_dedup.near_duplicates(docs)
-    keep = materialize(found.where("kept and doc_id is not null").select(F.col("doc_id").alias("keep")).distinct(), "pipe-keep")
-    own = docs.select(*COLUMNS)
-    named = own.join(keep, F.col("doc_id") == F.col("keep"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(own.where("doc_id is null"))
+    found = near_dedup.near_duplicates(docs, rows=True).where("first and doc_id is not null")
+    keep = materialize(found.groupBy(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")).agg(F.count("*").alias("n")), "pipe-keep")
+    own = docs.select(*COLUMNS).withColumn("th", F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col("k_id")) & (F.col("th") == F.col("k_th"))
+    out = own.join(keep.where("n = 1"), same, "left_semi").select(*COLUMNS).unionByName(own.where("doc_id is null").select(*COLUMNS))
+    again = keep.where("n > 1")
+    if m := again.count():  # rows that are there several times meet before the shuffle
+        again = F.broadcast(again) if m <= REPEATED_BROADCAST else again
+        once = own.join(again, same).groupBy("doc_id", "th").agg(F.min(F.struct(*COLUMNS)).alias("r"))
+        out = out.unionByName(once.select("r.*"))
+    return out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every document, with merge-dropout; copies that the mix made are told apart by numbers, so each is cut by its own draws.
 
-    Rows of one id and text are the same, so it doesn't matter which one gets which number.
+    Rows of one id and text are the same, so it doesn't matter which one gets which number.  Null and empty texts have no ids; a null id is replaced by the text in the key.
     """
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
     return piece_dropout.encode(docs.select("doc_id", "text", (F.row_number().over(same) - 1).alias("copy")), copy="copy")
