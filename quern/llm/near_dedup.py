@@ -9,12 +9,12 @@
 
 No bucket is ever expanded into rows of all its pairs.  A bucket first sends one star (its least class with each member), of which the
 best edge for each member is confirmed, then those that would still join two components.  Last, buckets that still hold several
-components: members outside the bucket's main component meet all members in blocks, by their signatures alone (64 bytes each); a pair whose estimate is
-plausible is confirmed on the full sets.  All candidate pairs that could change a component are so confirmed; there is no cap on bucket sizes.
+components: members outside the bucket's main component meet all members in blocks, by their signatures alone (64 bytes each); members with a plausible partner in
+a smaller block of texts are sent there, and plausible pairs are confirmed on the full sets, as many as it takes to join what they join.  No list of pairs is ever
+made.  All candidate pairs that could change a component are so confirmed; there is no cap on bucket sizes.
 
 Texts travel little: a bitmap, sized by the number of texts that are needed, filters them where they are read.  A star's members are dealt to cells of
-bounded size, and a cell gets the hub's text once; plausible pairs of the last step are dealt to cells of a block of texts against another, so a text is sent
-once for each block that it has a partner in, not for each pair.
+bounded size, and a cell gets the hub's text once; in the last step a text is sent once for each block that it has a plausible partner in.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ LONGS = N_HASHES * BITS // 64
 MISS = 1e-6
 DEVIATIONS = 5
 #: Signatures in a block that meets another; texts in a block, and their shingles; members in a cell of a star.
-SIG_BLOCK, BLOCK, BLOCK_SHINGLES, STAR_CELL = 1024, 128, 1 << 21, 256
+SIG_BLOCK, BLOCK, BLOCK_SHINGLES, STAR_CELL = 512, 128, 1 << 21, 256
 #: Bits of the bitmap that filters texts: for each text that is needed, and at most.  Beyond half of that it would let most texts pass and is left out.
 BITS_EACH, MAX_BITMAP = 16, 1 << 28
 #: Words (of up to so many bytes) whose hash is kept.
@@ -224,43 +224,59 @@ def plausible(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, n
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def plausible_pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Pairs (main, a, b), a of ``x`` and b of ``x`` or ``y`` of the same ``main`` but another component, whose estimate is plausible; x and y: main, node, comp, sig.
+CELL = ["main", "kind", "i", "j"]
 
-    Rows are cut into blocks of about SIG_BLOCK; a task sees two blocks, every pair is looked at once, and only signatures travel.
+
+def plausible_cells(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """(main, kind, i, j, side, node): the cells in which a node meets a node of another component of the same ``main`` with a plausible estimate; x and y: main, node, comp, n_shingles, sig.
+
+    Every x meets every x and y.  Rows are cut into blocks of about BLOCK texts and BLOCK_SHINGLES shingles, which are the cells, and these are grouped to blocks of about SIG_BLOCK; a task sees
+    two of the latter, and only signatures travel.  A node's row stands for all its partners in a block, so there are fewer rows than pairs.
     """
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("main").agg(F.ceil(F.count("*") / SIG_BLOCK).cast("int").alias(name))
+        fine = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+        return df.groupBy("main").agg(F.ceil(F.count("*") / SIG_BLOCK).cast("int").alias(f"n{name}"), fine.cast("int").alias(f"f{name}"))
 
-    sizes = materialize(blocks(x, "nx").join(blocks(y, "ny"), "main", "left").withColumn("ny", F.coalesce("ny", F.lit(0))), "nd-sizes")
-    own = F.pmod(F.xxhash64("node"), F.col("nx")).cast("int")
+    sizes = blocks(x, "x").join(blocks(y, "y"), "main", "left")
+    sizes = materialize(sizes.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ny", "fy")}), "nd-sizes")
     cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     upto = lambda lo, hi, f: F.when(lo <= hi, F.transform(F.sequence(lo, hi), f)).otherwise(F.array().cast("array<struct<kind: string, i: int, j: int, side: int>>"))
     me, last = F.col("own"), F.col("nx") - 1
     cells = F.concat(upto(me, last, lambda j: cell("xx", me, j, 0)), upto(F.lit(0), me, lambda i: cell("xx", i, me, 1)), upto(F.lit(0), F.col("ny") - 1, lambda j: cell("xy", me, j, 0)))
-    xs = x.join(sizes, "main").withColumn("own", own).select("main", "node", "comp", "sig", F.inline(cells))
-    there = F.pmod(F.xxhash64("node"), F.col("ny")).cast("int")
-    ys = y.join(sizes, "main").withColumn("own", there).select("main", "node", "comp", "sig", F.inline(upto(F.lit(0), last, lambda i: cell("xy", i, me, 1))))
+
+    def placed(df: DataFrame, name: str, to: Column) -> DataFrame:
+        rows = df.join(sizes, "main").withColumn("fine", F.pmod(F.xxhash64("node"), F.col(f"f{name}")).cast("int"))
+        return rows.withColumn("own", F.floor(F.col("fine") * F.col(f"n{name}") / F.col(f"f{name}")).cast("int")).select("main", "node", "comp", "sig", "fine", F.inline(to))
+
+    rows = placed(x, "x", cells).unionByName(placed(y, "y", upto(F.lit(0), last, lambda i: cell("xy", i, me, 1))))
 
     def run(t: pa.Table) -> pa.Table:
-        sig = t["sig"].combine_chunks()
-        sig = sig.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, LONGS)
-        node, comp, side = (t[c].to_numpy() for c in ("node", "comp", "side"))
+        sig = _signatures(t["sig"])
+        node, comp, side, fine = (t[c].to_numpy() for c in ("node", "comp", "side", "fine"))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        i, j = plausible(sig[left], sig[right], percent) if len(left) and len(right) else (left[:0], right[:0])
-        i, j = left[i], right[j]
-        ok = comp[i] != comp[j]
-        if t.num_rows and t["kind"][0].as_py() == "xx" and t["i"][0].as_py() == t["j"][0].as_py():
-            ok &= node[i] < node[j]
-        return pa.table({"main": pa.array(np.full(int(ok.sum()), t["main"][0].as_py() if t.num_rows else 0), pa.int64()), "a": pa.array(node[i[ok]]), "b": pa.array(node[j[ok]])})
+        a, b = plausible(sig[left], sig[right], percent) if len(left) and len(right) else (left[:0], right[:0])
+        a, b = left[a], right[b]
+        ok = comp[a] != comp[b]
+        if t["kind"][0].as_py() == "xx" and t["i"][0].as_py() == t["j"][0].as_py():
+            ok &= node[a] < node[b]
+        a, b = a[ok], b[ok]
+        ends = [np.unique(np.stack([own.astype(np.int64), fine[a].astype(np.int64), fine[b].astype(np.int64)]), axis=1) for own in (a, b)]
+        own, i, j = np.concatenate(ends, axis=1)
+        n = len(own)
+        main, kind = t["main"][0].as_py(), t["kind"][0].as_py()
+        sides = np.repeat([0, 1], [e.shape[1] for e in ends])
+        return pa.table({"main": pa.array(np.full(n, main), pa.int64()), "kind": pa.array([kind] * n, pa.string()), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "side": pa.array(sides, pa.int32()), "node": pa.array(node[own], pa.int64())})
+
+    return rows.groupBy(*CELL).applyInArrow(run, "main long, kind string, i int, j int, side int, node long")
+
 
-    return xs.unionByName(ys).groupBy("main", "kind", "i", "j").applyInArrow(run, "main long, a long, b long")
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, LONGS)
 
 
-def block_links(nodes: list[int], comps: list[int], sets: list[np.ndarray], partners: list[list[int]], percent: int) -> list[tuple[int, int]]:
-    """Links between components, of every node with its partners, as many as it takes to join what they join."""
-    comp_of, set_of = dict(zip(nodes, comps, strict=True)), dict(zip(nodes, sets, strict=True))
+def block_links(nodes: np.ndarray, comps: list[int], sets: list[np.ndarray], pairs: list[tuple[int, int]], percent: int) -> list[tuple[int, int]]:
+    """Links between components among ``pairs`` (places in the lists), as many as it takes to join what they join."""
     root = {c: c for c in comps}
 
     def find(c: int) -> int:
@@ -270,38 +286,26 @@ def block_links(nodes: list[int], comps: list[int], sets: list[np.ndarray], part
         return c
 
     out = []
-    for node, own in zip(nodes, partners, strict=True):
-        for other in own or ():
-            if (u := find(comp_of[node])) != (w := find(comp_of[other])) and _alike(set_of[node], set_of[other], percent):
-                root[max(u, w)] = min(u, w)
-                out.append((node, other))
+    for a, b in pairs:
+        if (u := find(comps[a])) != (w := find(comps[b])) and _alike(sets[a], sets[b], percent):
+            root[max(u, w)] = min(u, w)
+            out.append((int(nodes[a]), int(nodes[b])))
     return out
 
 
-def confirm_blocks(pairs: DataFrame, info: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among ``pairs`` (main, a, b), enough of them to join what all of them join; info: node, comp, n_shingles.
-
-    The nodes of each side of a ``main`` are cut into blocks of about BLOCK texts and BLOCK_SHINGLES shingles; a cell has the texts of two blocks that have a pair in it.
-    """
-
-    def blocks(side: str, name: str) -> DataFrame:
-        own = pairs.select("main", F.col(side).alias("node")).distinct().join(info.select("node", "n_shingles"), "node")
-        return own.groupBy("main").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias(name))
-
-    sizes = materialize(blocks("a", "na").join(blocks("b", "nb"), "main"), "nd-blocks")
-    at = lambda side, n: F.pmod(F.xxhash64(side), F.col(n)).cast("int")
-    dealt = pairs.join(sizes, "main").select("main", at("a", "na").alias("i"), at("b", "nb").alias("j"), "a", "b")
-    left = dealt.groupBy("main", "i", "j", F.col("a").alias("node")).agg(F.collect_list("b").alias("partners"))  # of one block, so bounded
-    right = dealt.select("main", "i", "j", F.col("b").alias("node"), F.array().cast("array<long>").alias("partners")).distinct()
-    rows = left.unionByName(right).groupBy("main", "i", "j", "node").agg(F.flatten(F.collect_list("partners")).alias("partners"))
-    rows = rows.join(info.select("node", "comp"), "node").join(texts, "node")
+def confirm_cells(cells: DataFrame, info: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of the plausible pairs in each cell (see ``plausible_cells``); info: node, comp, sig.  A cell holds the texts of two blocks."""
+    rows = cells.join(info, "node").join(texts, "node")
 
     def run(t: pa.Table) -> pa.Table:
+        sig, side = _signatures(t["sig"]), t["side"].to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = plausible(sig[left], sig[right], percent) if len(left) and len(right) else (left[:0], right[:0])
         sets = [shingle_set(v or b"", width) for v in t["text"].cast(pa.binary()).to_pylist()]
-        found = block_links(t["node"].to_pylist(), t["comp"].to_pylist(), sets, t["partners"].to_pylist(), percent)
+        found = block_links(t["node"].to_numpy(), t["comp"].to_pylist(), sets, list(zip(left[a].tolist(), right[b].tolist(), strict=True)), percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("main", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.groupBy(*CELL).applyInArrow(run, "a long, b long")
 
 
 def texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -374,11 +378,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     here = materialize(_labelled(inside, labels, "node", "comp"), "nd-here")
     mixed = here.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.count("*").alias("comps"))
     mixed = materialize(mixed.where("comps > 1").select("key", "main"), "nd-mixed")
-    member = materialize(here.join(mixed, "key").select("main", "node", "comp").distinct().join(sigs, "node"), "nd-member")
-    pairs = materialize(plausible_pairs(member.where("comp <> main"), member.where("comp = main"), percent), "nd-plausible")
-    wanted = materialize(both(pairs).join(info, "node"), "nd-wanted")
-    comps = _labelled(classes.select("node", "n_shingles"), labels, "node", "comp")
-    links = confirm_blocks(pairs, materialize(comps.join(wanted.select("node"), "node", "left_semi"), "nd-info"), texts_of(source, wanted), width, percent)
+    member = materialize(here.join(mixed, "key").select("main", "node", "comp").distinct().join(classes.select("node", "n_shingles", "sig"), "node"), "nd-member")
+    cells = materialize(plausible_cells(member.where("comp <> main"), member.where("comp = main"), percent), "nd-cells")
+    wanted = materialize(cells.select("node").distinct().join(info, "node"), "nd-wanted")
+    comps = materialize(member.select("node", "comp", "sig").dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi"), "nd-info")
+    links = confirm_cells(cells, comps, texts_of(source, wanted), width, percent)
     labels = _relabel(labels, materialize(links, "nd-links"))
 
     # a group's least (id, text) stands for it

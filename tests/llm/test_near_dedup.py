@@ -111,9 +111,16 @@ def test_a_band_with_twenty_thousand_unlike_members(spark):
     at = time.time()
     i, j = N.plausible(sig[:10_000].view(np.uint64), sig.view(np.uint64), 80)
     assert time.time() - at < 60
-    df = spark.createDataFrame([(1, k, k, sig[k].tolist()) for k in range(n)], "main long, node long, comp long, sig array<long>")
-    got = {(min(r.a, r.b), max(r.a, r.b)) for r in N.plausible_pairs(df.where("comp <> main"), df.where("comp = main"), 80).collect()}
-    assert got == {(int(min(t)), int(max(t))) for t in twins}
+    df = spark.createDataFrame([(1, k, k, 100, sig[k].tolist()) for k in range(n)], "main long, node long, comp long, n_shingles long, sig array<long>")
+    cells = N.plausible_cells(df.where("comp <> main"), df.where("comp = main"), 80).collect()
+    met = {}
+    for r in cells:
+        met.setdefault((r.kind, r.i, r.j), ([], []))[r.side].append(r.node)
+    assert len(cells) == 200 and {(min(p), max(p)) for p in ((a, b) for left, right in met.values() for a in left for b in right) if {p, p[::-1]} & pairs_of(twins)} == pairs_of(twins)
+
+
+def pairs_of(twins):
+    return {(int(min(t)), int(max(t))) for t in twins}
 
 
 def test_recall_of_planted_pairs(docs):
@@ -164,10 +171,10 @@ def test_plausible_signatures_are_those_of_the_estimate(spark):
 
 def test_blocks_join_what_they_should():
     sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 3, 6, 500)]
-    every = [[2, 3, 4], [1, 3, 4], [1, 2, 4], [1, 2, 3]]
-    assert N.block_links([1, 2, 3, 4], [1, 2, 3, 4], sets, every, 85) == [(1, 2), (1, 3)]
-    assert N.block_links([1, 2, 3, 4], [1, 1, 1, 4], sets, every, 85) == []
-    assert N.block_links([1, 2, 3, 4], [1, 2, 3, 4], sets, [[4], None, [], [2]], 85) == []
+    every, nodes = [(a, b) for a in range(4) for b in range(a)], np.array([1, 2, 3, 4])
+    assert N.block_links(nodes, [1, 2, 3, 4], sets, every, 85) == [(2, 1), (3, 1)]
+    assert N.block_links(nodes, [1, 1, 1, 4], sets, every, 85) == []
+    assert N.block_links(nodes, [1, 2, 3, 4], sets, [(0, 3), (1, 2)], 85) == [(2, 3)]
 
 
 def test_connected_components(spark):
