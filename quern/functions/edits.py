@@ -34,36 +34,16 @@ def apply_ops(text: Column, ops: Column) -> Column:
     return F.aggregate(order, text, splice)
 
 
-#: Up to so many operations stretches are cut from the text (each cut scans it); beyond, from the array of its characters.
-FEW_OPS = 32
-
-
-def apply_disjoint(text: Column, chars: Column, ops: Column) -> Column:
-    """Like ``apply_ops`` for operations that are ascending and disjoint: kept stretches are joined once.  ``chars``: the characters of ``text``."""
-    def from_text(start: Column, n: Column) -> Column:
-        return F.substring(text, start + 1, n)
-
-    def from_chars(start: Column, n: Column) -> Column:
-        return F.array_join(F.slice(chars, start + 1, F.greatest(n, F.lit(0))), "")
-
-    def joined(stretch, length: Column) -> Column:
-        def part(o: Column, i: Column) -> Column:
-            prev = F.coalesce(F.get(ops, i - 1)["end"], F.lit(0)).cast("int")
-            kept = F.when(o["op_type"] == "duplicate", F.concat(o["original"], o["replacement"])).when(o["op_type"] == "delete", F.lit("")).otherwise(o["replacement"])
-            return F.concat(stretch(prev, o["start"].cast("int") - prev), kept)
-
-        last = F.coalesce(F.get(ops, F.size(ops) - 1)["end"], F.lit(0)).cast("int")
-        return F.concat(F.array_join(F.transform(ops, part), ""), stretch(last, length - last))
-
-    return F.when(F.size(ops) <= FEW_OPS, joined(from_text, F.length(text))).otherwise(joined(from_chars, F.size(chars)))
+def _plain(key: Column, value: Column) -> Column:
+    return F.when(value.rlike(r"^(\d+|[A-Z][a-z])$"), value).otherwise(F.raise_error(F.concat(F.lit("unsafe metadata: "), key)))
 
 
 def redact(ops: Column) -> Column:
-    """Operations without any text; of the metadata only allowed keys with plain numbers or category names stay."""
+    """Operations without any text; of the metadata only allowed keys stay.  A value of an allowed key that is no plain number or category name is an error, as it could hold text."""
     safe = F.array(*[F.lit(k) for k in SAFE_METADATA])
     return F.transform(ops, lambda o: F.struct(
         o["op_index"].alias("op_index"), o["op_type"].alias("op_type"), o["field"].alias("field"), o["start"].alias("start"), o["end"].alias("end"), o["unit_kind"].alias("unit_kind"),
-        F.map_filter(o["metadata"], lambda k, v: F.array_contains(safe, k) & v.rlike(r"^(\d+|[A-Z][a-z])$")).alias("metadata"),
+        F.transform_values(F.map_filter(o["metadata"], lambda k, v: F.array_contains(safe, k)), _plain).alias("metadata"),
     ))
 
 

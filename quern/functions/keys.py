@@ -33,22 +33,35 @@ def row_seed(base: Column, dataset: Column, sample_id: Column, strategy: Column,
     return hex_number(F.concat_ws("|", base.cast("string"), dataset, sample_id, strategy, level), 8, 9).bitwiseAND(F.lit(2147483647))
 
 
-def pick(seed: Column, j: Column, width: Column) -> Column:
-    """A number below ``width`` from the hash of seed and place."""
-    return F.pmod(hex_number(F.concat_ws("|", seed.cast("string"), j.cast("string"))), width)
+#: Draws are residues of this prime, so that products stay within 64 bits.
+PRIME = 2147483647
 
 
-def stratified(seed: Column, n: Column, k: Column) -> Column:
-    """k of the ranks 0 to n - 1, ascending and distinct: one from each of k even strata.
+def mix(seed: Column, j: Column, salt: int = 0) -> Column:
+    """The j-th number (below PRIME) of a seed below PRIME: plain arithmetic, so that many draws of a row cost no digest each."""
+    a = (seed + (j.cast("long") + 1) * 1000003 + salt * 7368787) % PRIME
+    return ((a * a) % PRIME * 48271 + seed) % PRIME
+
+
+def sql_mix(seed: str, j: str, salt: int = 0) -> str:
+    """``mix`` as SQL text."""
+    a = f"(({seed} + ({j} + 1) * 1000003 + {salt * 7368787}) % {PRIME})"
+    return f"((({a} * {a}) % {PRIME} * 48271 + {seed}) % {PRIME})"
+
+
+def strata(seed: Column, n: Column, k: Column, first: Column | int = 0) -> Column:
+    """k of the ranks 0 to n - 1, ascending and distinct: one from each of k even strata, by the numbers ``first``, ``first`` + 1, ... of the seed.
 
     n and k are bound once for each row: within the inner lambda their expressions would be computed anew for every rank.
     """
+    start = F.lit(first) if isinstance(first, int) else first
 
     def ranks(b: Column) -> Column:
         def one(j: Column) -> Column:
             lo, hi = F.floor(j * b["n"] / b["k"]), F.floor((j + 1) * b["n"] / b["k"])
-            return (lo + pick(seed, j, F.greatest(hi - lo, F.lit(1)))).cast("int")
+            return (lo + mix(b["seed"], b["first"] + j) % F.greatest(hi - lo, F.lit(1))).cast("int")
 
         return F.when(b["k"] > 0, F.transform(F.sequence(F.lit(0), F.greatest(b["k"], F.lit(1)) - 1), one)).otherwise(F.array().cast("array<int>"))
 
-    return F.get(F.transform(F.array(F.struct(n.alias("n"), k.alias("k"))), ranks), F.lit(0))
+    bound = F.struct(n.cast("long").alias("n"), k.cast("int").alias("k"), seed.alias("seed"), start.cast("long").alias("first"))
+    return F.get(F.transform(F.array(bound), ranks), F.lit(0))

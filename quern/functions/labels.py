@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import LABELS_OF
@@ -63,6 +63,21 @@ def normalize(raw: Column) -> Column:
     return strip(fold_width(F.coalesce(raw, F.lit(""))))
 
 
+def legacy_normalize(raw: Column) -> Column:
+    """The older normal form of labels: trimmed and in lower case."""
+    return F.lower(strip(raw.cast("string")))
+
+
+def raw_label(raw: Column) -> Column:
+    """A response's text as a label without any parse: trimmed, null if nothing is left."""
+    return F.nullif(strip(raw), F.lit(""))
+
+
+def task_of(df: DataFrame, *names: str) -> Column:
+    """The task of a sample from whichever of the columns is there and filled first."""
+    return F.coalesce(*[F.col(n) for n in names if n in df.columns], F.lit(None).cast("string"))
+
+
 def _failure(text: Column) -> Column:
     return (
         F.when(text == "", "failure_empty")

@@ -1,14 +1,15 @@
 """Robustness metrics: outcomes of samples, paired with the clean ones, and their aggregates.
 
 Samples: dataset_name, sample_id, corruption_name, corruption_level (both null when clean), task, gold_label, n_options,
-corruption_applied.  Records: the same key, raw_response and ``seq`` (the order of loading).  The finest grain is computed once;
-everything else re-aggregates it, so the large inputs are joined and shuffled once.
+corruption_applied.  Records: the same key, raw_response and ``seq`` (the order of loading).  Samples and records are read once: outcomes carry whether their
+sample's clean form was right, ``facts`` counts everything by bucket in one aggregate, and all reports re-aggregate these few rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.labels import allowed_letters, gold_label, parse_label, response_text
 
@@ -30,17 +31,18 @@ def outcomes(samples: DataFrame, records: DataFrame) -> DataFrame:
     parsed = parse_label(response_text(F.col("raw_response")), F.col("task"), allowed_letters(F.col("n_options")))
     df = df.withColumn("has_response", F.coalesce("found", F.lit(False))).withColumn("parsed", F.when(F.col("has_response"), parsed))
     is_clean = F.col("corruption_name").isNull()
-    return df.select(
+    out = df.select(
         *KEY, is_clean.alias("is_clean"), F.coalesce("corruption_applied", F.lit(True)).alias("applied"), "has_response",
         F.coalesce(F.col("parsed.label") == gold_label(F.col("task"), F.col("gold_label")), F.lit(False)).alias("correct"),
         F.when(F.col("has_response"), F.col("parsed.label").isNull()).otherwise(is_clean).alias("parse_failed"), F.col("parsed.status").alias("parse_status"),
     )
+    clean_correct = F.max(F.col("is_clean") & F.col("correct")).over(Window.partitionBy("dataset_name", "sample_id"))  # the levels of one sample
+    return out.withColumn("clean_correct", clean_correct)
 
 
 def paired(out: DataFrame) -> DataFrame:
     """Perturbed outcomes with clean_correct of their sample."""
-    clean = out.where("is_clean").groupBy("dataset_name", "sample_id").agg(F.max("correct").alias("clean_correct"))
-    return out.where("not is_clean").join(clean, ["dataset_name", "sample_id"], "left").withColumn("clean_correct", F.coalesce("clean_correct", F.lit(False)))
+    return out.where("not is_clean")
 
 
 def _n(cond: Column) -> Column:
@@ -52,19 +54,26 @@ def share(num: Column, den: Column, percent: bool = True) -> Column:
     return F.when(den != 0, num.cast("double") / den * (100.0 if percent else 1.0))
 
 
-def clean_metrics(out: DataFrame) -> DataFrame:
+MEASURES = ["eligible", "applied", "not_applied", "responses", "api_errors", "parse_failures", "correct", "crr_den", "crr_num", "all_correct", "all_failed", "missing"]
+
+
+def facts(out: DataFrame) -> DataFrame:
+    """Counts by dataset, strategy and level (both null for clean samples): a few rows that every report starts from."""
+    c, answered = F.col, F.col("applied") & F.col("has_response")
+    conds = [F.lit(True), c("applied"), ~c("applied"), answered, c("applied") & ~c("has_response"), answered & c("parse_failed"), answered & c("correct"), answered & c("clean_correct"), answered & c("clean_correct") & c("correct"),
+             c("correct"), c("parse_failed"), ~c("has_response")]
+    return out.groupBy("dataset_name", "corruption_name", "corruption_level").agg(*[_n(x).alias(n) for n, x in zip(MEASURES, conds, strict=True)])
+
+
+def clean_metrics(facts: DataFrame) -> DataFrame:
     """Per dataset: total, correct, parse failures, accuracy and failure rate in percent."""
-    g = out.where("is_clean").groupBy("dataset_name").agg(F.count("*").alias("total"), _n(F.col("correct")).alias("correct"), _n(F.col("parse_failed")).alias("parse_fail"))
+    g = facts.where("corruption_name is null").select("dataset_name", F.col("eligible").alias("total"), F.col("all_correct").alias("correct"), F.col("all_failed").alias("parse_fail"))
     return g.withColumn("accuracy_pct", share(F.col("correct"), F.col("total"))).withColumn("parse_fail_pct", share(F.col("parse_fail"), F.col("total")))
 
 
-def bucket_metrics(pairs: DataFrame) -> DataFrame:
+def bucket_metrics(facts: DataFrame) -> DataFrame:
     """Per dataset, strategy and level; CRR is null where no clean sample was correct."""
-    c, answered = F.col, F.col("applied") & F.col("has_response")
-    g = pairs.groupBy("dataset_name", "corruption_name", "corruption_level").agg(
-        F.count("*").alias("eligible"), _n(c("applied")).alias("applied"), _n(~c("applied")).alias("not_applied"), _n(answered).alias("responses"), _n(c("applied") & ~c("has_response")).alias("api_errors"),
-        _n(answered & c("parse_failed")).alias("parse_failures"), _n(answered & c("correct")).alias("correct"), _n(answered & c("clean_correct")).alias("crr_den"), _n(answered & c("clean_correct") & c("correct")).alias("crr_num"),
-    )
+    c, g = F.col, facts.where("corruption_name is not null").drop("all_correct", "all_failed", "missing")
     return (
         g.withColumn("crr", share(c("crr_num"), c("crr_den"), False))
         .withColumn("success_rate", F.coalesce(share(c("applied"), c("eligible"), False), F.lit(0.0)))
@@ -72,40 +81,42 @@ def bucket_metrics(pairs: DataFrame) -> DataFrame:
     )
 
 
-def strategy_metrics(buckets: DataFrame, clean: DataFrame) -> DataFrame:
+def strategy_metrics(facts: DataFrame) -> DataFrame:
     """Per strategy: macro CRR (mean over buckets where it is defined), success rate and accuracy drop, in percent."""
-    overall = clean.agg(share(F.sum("correct"), F.sum("total")).alias("clean_pct"))
-    g = buckets.groupBy("corruption_name").agg(
-        (F.sum("crr") / F.count("crr") * 100.0).alias("macro_crr_pct"), share(F.sum("applied"), F.sum("eligible")).alias("success_pct"), share(F.sum("correct"), F.sum("responses")).alias("accuracy_pct")
+    c, every = F.col, Window.partitionBy()  # over the few rows of facts
+    clean = lambda n: F.sum(F.when(c("corruption_name").isNull(), c(n))).over(every)
+    rows = facts.withColumn("clean_pct", share(clean("all_correct"), clean("eligible"))).where("corruption_name is not null").withColumn("crr", share(c("crr_num"), c("crr_den"), False))
+    g = rows.groupBy("corruption_name").agg(
+        (F.sum("crr") / F.count("crr") * 100.0).alias("macro_crr_pct"), share(F.sum("applied"), F.sum("eligible")).alias("success_pct"), share(F.sum("correct"), F.sum("responses")).alias("accuracy_pct"), F.max("clean_pct").alias("clean_pct")
     )
-    return g.crossJoin(F.broadcast(overall)).withColumn("drop_pct", F.col("clean_pct") - F.col("accuracy_pct")).drop("clean_pct")  # one row
+    return g.withColumn("drop_pct", c("clean_pct") - c("accuracy_pct")).drop("clean_pct")
+
+
+def record_counts(records: DataFrame) -> DataFrame:
+    """Clean and perturbed records."""
+    clean = F.col("corruption_name").isNull()
+    return records.agg(F.count_if(clean).alias("clean"), F.count_if(~clean).alias("corrupted"))
 
 
-def overall_failures(out: DataFrame, pairs: DataFrame, records: DataFrame) -> DataFrame:
+def overall_failures(facts: DataFrame, records: DataFrame) -> DataFrame:
     """Failed parses over received records: overall, clean, perturbed; and the overall rate with missing clean rows in the denominator too."""
-    f = out.where("is_clean").agg(_n(F.col("parse_failed")).alias("cf"), _n(~F.col("has_response")).alias("missing"))
-    p = pairs.agg(_n(F.col("applied") & F.col("has_response") & F.col("parse_failed")).alias("pf"))
-    r = records.agg(F.count("*").alias("n"), _n(F.col("corruption_name").isNull()).alias("nc"))
-    one = f.crossJoin(F.broadcast(p)).crossJoin(F.broadcast(r))  # one row each
-    c = F.col
+    c, clean = F.col, F.col("corruption_name").isNull()
+    f = facts.agg(F.sum(F.when(clean, c("all_failed"))).alias("cf"), F.sum(F.when(clean, c("missing"))).alias("missing"), F.sum(F.when(~clean, c("parse_failures"))).alias("pf"))
+    one = f.crossJoin(F.broadcast(record_counts(records).select((c("clean") + c("corrupted")).alias("n"), c("clean").alias("nc"))))  # one row each
     return one.select(
         share(c("cf") + c("pf"), c("n")).alias("overall_pct"), share(c("cf"), c("nc")).alias("clean_pct"), share(c("pf"), c("n") - c("nc")).alias("corrupted_pct"), share(c("cf") + c("pf"), c("n") + c("missing")).alias("bounded_pct")
     )
 
 
-def rollup(pairs: DataFrame) -> DataFrame:
-    """Micro measures at four grains in one pass."""
-    c, answered = F.col, F.col("applied") & F.col("has_response")
-    flat = pairs.select("dataset_name", "corruption_name", "corruption_level", c("applied").cast("int").alias("a"), answered.cast("int").alias("r"), (answered & c("correct")).cast("int").alias("k"))
-    flat.createOrReplaceTempView("quern_rollup")
-    return flat.sparkSession.sql(
-        "SELECT dataset_name, corruption_name, corruption_level, count(*) AS eligible, sum(a) AS applied, sum(r) AS responses, sum(k) AS correct FROM quern_rollup "
-        "GROUP BY GROUPING SETS ((dataset_name, corruption_name, corruption_level), (dataset_name, corruption_name), (corruption_name), ())"
-    )
+def rollup(facts: DataFrame) -> DataFrame:
+    """Micro measures at four grains in one pass over the counts."""
+    by = ["dataset_name", "corruption_name", "corruption_level"]
+    sums = [F.sum(n).alias(n) for n in ("eligible", "applied", "responses", "correct")]
+    return facts.where("corruption_name is not null").groupingSets([by, by[:2], by[1:2], []], *by).agg(*sums)
 
 
 def markdown(clean: DataFrame, strategies: DataFrame) -> str:
-    """A small report; both tables are a row for each dataset or strategy."""
+    """A small report; both tables are a row for each dataset or strategy, in their order."""
     show = lambda x: "nan" if x is None else f"{x:.2f}" if isinstance(x, float) else str(x)
     lines = []
     for title, df, by in (("Clean", clean, "dataset_name"), ("Strategies", strategies, "corruption_name")):

@@ -24,3 +24,26 @@ def recover(observed: DataFrame, candidates: DataFrame, model: str) -> DataFrame
     out = observed.select("record_id", "messages_hash").join(hits, "record_id", "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
     status = F.when(F.col("messages_hash").isNull(), "no_messages").when(F.col("n_matches") == 0, "unmatched").when(F.col("n_matches") == 1, "recovered").otherwise("ambiguous")
     return out.select("record_id", "n_matches", F.when(F.col("n_matches") == 1, F.col("uid")).alias("sample_uid"), status.alias("status"))
+
+
+def attempts(observed: DataFrame, candidates: DataFrame, bucket: list[str]) -> DataFrame:
+    """How many (record, candidate) pairs a search without the id would try: the sum over buckets of records times candidates, from the counts of buckets alone."""
+    n = observed.groupBy(*bucket).agg(F.count("*").alias("n"))
+    m = candidates.groupBy(*[F.col(c).alias(f"m_{c}") for c in bucket]).agg(F.count("*").alias("m"))
+    same = F.lit(True)
+    for c in bucket:
+        same = same & F.col(c).eqNullSafe(F.col(f"m_{c}"))
+    return n.join(m, same).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("attempts"))
+
+
+def outcome_counts(recovered: DataFrame, by: list[str]) -> DataFrame:
+    """Records by status for each dataset or bucket."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return recovered.groupBy(*by).agg(F.count("*").alias("records"), n("recovered"), n("unmatched"), n("ambiguous"), n("no_messages"))
+
+
+def assigned_several(recovered: DataFrame) -> DataFrame:
+    """``recovered`` with ``several``: whether its sample was recovered for other records too."""
+    uid = F.col("sample_uid")
+    n = recovered.where(uid.isNotNull()).groupBy(uid.alias("s_uid")).agg((F.count("*") > 1).alias("several"))
+    return recovered.join(n, uid == F.col("s_uid"), "left").drop("s_uid").withColumn("several", F.coalesce("several", F.lit(False)))

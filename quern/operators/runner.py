@@ -1,65 +1,98 @@
-"""Runs assigned strategies over a whole table in one pass, with a fallback for rows that their strategy can't change."""
+"""Runs strategies over whole tables: one assigned strategy for each row with a fallback, or every strategy, and whole samples."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edits import apply_disjoint
-from ..functions.keys import row_seed, stratified
+from ..functions.edits import redact
 from ..functions.plan import opaque
-from ..functions.text import UNIT
-from ..schema import LEVELS, STRATEGIES
+from ..schema import LEVELS, PAYLOAD, STRATEGIES
 from .assign import assign_balanced, eligible
-from .strategies import BASE_SEED, CHAR_STRATEGIES, budget, word_ops, words_and_gaps
-
+from .calls import still_clean
+from .strategies import BASE_SEED, perturb, works
 
-def _by_strategy(strategy: Column, values: dict[str, Column]) -> Column:
-    """Only the branch of a row's strategy is computed."""
-    out = None
-    for name, v in values.items():
-        out = F.when(strategy == name, v) if out is None else out.when(strategy == name, v)
-    return out
+TEXT_FIELDS = ["text_a", "text_b", "context"]
 
 
-def _n_places(strategy: Column, chars: Column, text: Column, pattern: str) -> Column:
-    sizes = {n: F.size(s.places(text, chars, pattern)) for n, s in CHAR_STRATEGIES.items()}
-    return _by_strategy(strategy, sizes | {"red_word": F.size(F.regexp_extract_all(text, F.lit(f"({pattern}+)"), 1))})
+def perturb_assigned(df: DataFrame, text: str | Sequence[str] = "text_a", base_seed: int = BASE_SEED, unit: str = "letter") -> DataFrame:
+    """``df`` (dataset_name, sample_id, texts, strategy) at each level by its own strategy; see ``perturb``."""
+    return perturb(df, F.col("strategy"), text, base_seed, unit)
 
 
-def perturb_assigned(df: DataFrame, text: str = "text_a", base_seed: int = BASE_SEED, unit: str = "letter") -> DataFrame:
-    """``df`` (dataset_name, sample_id, text, strategy) at each level, all from the clean text: level, seed, ops, change_count, corrupted, status."""
-    pattern, t, s = UNIT[unit], F.col("__t"), F.col("strategy")
-    each = df.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"('{x}')" for x in LEVELS) + " AS v(level)")
-    rows = df.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__c", F.split("__t", ""))
-    rows = rows.withColumn("__p", _by_strategy(s, {n: x.places(t, F.col("__c"), pattern) for n, x in CHAR_STRATEGIES.items()})).crossJoin(F.broadcast(each))  # three rows
-    rows = rows.withColumn("seed", row_seed(F.lit(base_seed), F.col("dataset_name"), F.col("sample_id"), s, F.col("level")))
-    n = F.size("__p")
-    rows = rows.withColumn("__r", stratified(F.col("seed"), n, _by_strategy(s, {x: budget(x, F.col("level"), n, F.length(t)) for x in CHAR_STRATEGIES})))
-    rows = rows.withColumns({c: F.when(s == "red_word", v) for c, v in words_and_gaps(t, pattern).items()})
-    words = word_ops(F.coalesce("__w", F.array().cast("array<string>")), F.coalesce("__g", F.array().cast("array<string>")), F.length(t), F.col("seed"), F.col("level"))
-    ops = {x: _edit(st, "__r") for x, st in CHAR_STRATEGIES.items()}
-    rows = rows.withColumn("ops", opaque(F.coalesce(_by_strategy(s, ops | {"red_word": words}), F.filter(words, lambda o: F.lit(False)))))
-    rows = rows.withColumn("change_count", F.size("ops").cast("long")).withColumn("corrupted", F.when(F.col("change_count") > 0, apply_disjoint(F.col("__t"), F.col("__c"), F.col("ops"))))
-    return rows.withColumn("status", F.when(F.col("change_count") > 0, "APPLIED").otherwise("NOT_APPLIED")).drop("__t", "__c", "__p", "__r", "__w", "__g")
+def alternatives(eligible: Column, used: Column) -> Column:
+    """Eligible strategies, the least used first (``used``: strategy -> count), then by name."""
+    rank = F.transform(eligible, lambda n: F.struct(F.coalesce(F.element_at(used, n), F.lit(0)).alias("n"), n.alias("name")))
+    return F.transform(F.array_sort(rank), lambda r: r["name"])
 
 
-def _edit(strategy, ranks: str) -> Column:
-    return F.transform(ranks, lambda r, j: strategy.edit(F.col("__c"), F.get("__p", r), F.col("seed"), j))
+def used_counts(assigned: DataFrame) -> DataFrame:
+    """(dataset, used): how often each strategy is assigned in a dataset, as a map of seven entries at most."""
+    n = assigned.where("strategy is not null").groupBy("dataset_name", "strategy").agg(F.count("*").alias("n"))
+    return n.groupBy(F.col("dataset_name").alias("dataset")).agg(F.map_from_entries(F.collect_list(F.struct("strategy", "n"))).alias("used"))
 
 
-def with_fallback(df: DataFrame, text: str = "text_a", unit: str = "letter") -> DataFrame:
-    """``strategy`` as assigned where it finds a place in the text; else the first other eligible strategy (by name) that does.
+def with_fallback(df: DataFrame, text: str | Sequence[str] = "text_a", unit: str = "letter") -> DataFrame:
+    """``strategy`` as assigned where it finds a place in a text; else the other eligible strategy that does and is least assigned in the dataset (then by name).
 
-    A strategy with a place makes an edit at every level, so a row is changed at all levels or at none.
+    A strategy with a place makes an edit at every level, so a row is changed at all levels or at none.  ``df`` is read for the counts and again for the rows.
     """
-    pattern = UNIT[unit]
-    rows = df.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__c", F.split("__t", ""))
-    works = lambda s: F.coalesce(_n_places(s, F.col("__c"), F.col("__t"), pattern), F.lit(0)) > 0
-    other = F.get(F.array_compact(F.array(*[F.when(F.array_contains("eligible", n) & works(F.lit(n)), n) for n in sorted(STRATEGIES)])), 0)
-    return rows.withColumn("strategy", opaque(F.when(works(F.col("strategy")), F.col("strategy")).otherwise(other))).drop("__t", "__c")
+    fields = [F.coalesce(F.col(t), F.lit("")) for t in ([text] if isinstance(text, str) else text)]
+
+    def fits(name: str) -> Column:
+        out = works(name, fields[0], unit)
+        for t in fields[1:]:
+            out = out | works(name, t, unit)
+        return out
+
+    rows = df.join(used_counts(df).select(F.col("dataset").alias("__d"), F.col("used").alias("__used")), F.col("dataset_name").eqNullSafe(F.col("__d")), "left")
+
+    def fit(name: Column) -> Column:
+        out = F.lit(False)
+        for n in STRATEGIES:
+            out = F.when(name == n, fits(n)).otherwise(out)
+        return out
+
+    other = F.get(F.filter(alternatives(F.col("eligible"), F.col("__used")), fit), 0)
+    return rows.withColumn("strategy", opaque(F.when(fit(F.col("strategy")), F.col("strategy")).otherwise(other))).drop("__d", "__used")
+
 
+def run_assigned(df: DataFrame, text: str | Sequence[str] = "text_a", unit: str = "letter") -> DataFrame:
+    """One strategy for each row, three levels of it: the whole perturbed table.  ``df`` is read several times and should be a table."""
+    fields = [F.col(t) for t in ([text] if isinstance(text, str) else text)]
+    return perturb_assigned(with_fallback(assign_balanced(df.withColumn("eligible", eligible(fields, unit))), text, unit), text, unit=unit)
 
-def run_assigned(df: DataFrame, text: str = "text_a", unit: str = "letter", buckets: int = 256) -> DataFrame:
-    """One strategy for each row, three levels of it: the whole perturbed table."""
-    return perturb_assigned(with_fallback(assign_balanced(df.withColumn("eligible", eligible(F.col(text), unit)), buckets=buckets), text, unit), text, unit=unit)
+
+def run_every(df: DataFrame, text: str | Sequence[str] = "text_a", unit: str = "letter", targets: str | None = None, kind: str | None = None) -> DataFrame:
+    """Every strategy at every level on every row, in one pass: 21 rows for each."""
+    each = df.withColumn("strategy", F.explode(F.array(*map(F.lit, STRATEGIES))))
+    return perturb(each, F.col("strategy"), text, unit=unit, targets=targets, kind=kind)
+
+
+def status_counts(run: DataFrame) -> DataFrame:
+    """Applied, not applied and invalid rows by strategy and level."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return run.groupBy("strategy", "level").agg(F.count("*").alias("n"), n("APPLIED").alias("applied"), n("NOT_APPLIED").alias("not_applied"), n("INVALID").alias("invalid"))
+
+
+def perturb_samples(samples: DataFrame, strategy: str | Column, levels: Sequence[str] = LEVELS, base_seed: int = BASE_SEED, unit: str = "han") -> DataFrame:
+    """Whole samples (the SAMPLE schema, clean) at each level: corrupted payload, traces, counts and status filled in; a sample that is perturbed already is an error.
+
+    Samples that are not changed have no corrupted payload and no traces, but the reason.
+    """
+    name = F.lit(strategy) if isinstance(strategy, str) else strategy
+    p = F.col("clean_payload")
+    rows = samples.withColumns({"sample_id": still_clean(F.col("corruption_name"), F.col("sample_id")), "__kind": p["payload_kind"], "__name": name} | {f"__{f}": p[f] for f in TEXT_FIELDS})
+    rows = rows.withColumnsRenamed({f"__{f}": f for f in TEXT_FIELDS})
+    made = perturb(rows, strategy if isinstance(strategy, str) else F.col("__name"), TEXT_FIELDS, base_seed, unit, levels, "target_fields", "__kind")
+    applied = F.col("status") == "APPLIED"
+    payload = F.struct(*[(F.col(f"corrupted.{f.name}") if f.name in TEXT_FIELDS else p[f.name]).alias(f.name) for f in PAYLOAD])
+    trace = lambda ops: F.when(applied, F.struct(F.col("__name").alias("corruption_name"), F.col("level").alias("corruption_level"), F.col("seed").alias("seed"), ops.alias("ops")))
+    new = {
+        "corrupted_payload": F.when(applied, payload), "corruption_name": F.col("__name"), "corruption_level": F.col("level"), "corruption_seed": F.col("seed"), "corruption_applied": applied,
+        "internal_change_trace": trace(F.col("ops")), "public_redacted_trace": trace(redact(F.col("ops"))),
+    }
+    new |= {"change_count": F.col("change_count"), "failure_reason": F.col("failure_reason")}
+    return made.select(*[new.get(c, F.col(c)).alias(c) for c in samples.columns], "status")

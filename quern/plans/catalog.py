@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import edits, keys, labels, text
-from ..operators import adapters, assign, audit, metrics, prompts, recover, runner, strategies
-from ..schema import LEVELS, STRATEGIES
+from ..functions import compat, edits, keys, labels, text
+from ..operators import adapters, assign, audit, calls, endpoints, metrics, prompts, recover, runner, samples, strategies
+from ..schema import KIND_OF, LABEL_TEXT, LABELS_OF, LEVELS, PAYLOAD, SAMPLE, STRATEGIES, TASK_OF
+from ..sources import readers, sinks
 from ..streaming import request_log
 from . import fixtures as fx
 
@@ -46,37 +47,75 @@ def _with(cte: str, sql: str) -> str:
 
 # -- perturbations ------------------------------------------------------------------------------
 
-for _name in STRATEGIES:
-    query(f"p_{_name}", strategies.oracle(_name))(
-        lambda s, d, n=_name: strategies.perturb(fx.single(s, d).drop("gold_label"), n).select("sample_id", "level", "change_count", F.md5("corrupted").alias("corrupted_md5"))
+_PAIR = ["text_a", "text_b"]
+_CONTEXT_SQL = "SELECT sample_id, dataset_name, 0 AS f, context AS t FROM choices"
+
+
+def _md5(*fields: str) -> Column:
+    return F.md5(F.concat_ws("\x01", *[f"corrupted.{f}" for f in fields]) if fields else F.col("corrupted")).alias("corrupted_md5")
+
+
+def _equal(value: str) -> Callable[[Column], Column]:
+    return lambda x: x == value
+
+
+def _perturbation(name: str) -> None:
+    """The strategy on texts, on both fields of pairs, and on the context of choices."""
+    cols = ["sample_id", "level", "change_count"]
+    query(f"p_{name}", strategies.oracle(name))(lambda s, d: strategies.perturb(fx.single(s, d).drop("gold_label"), name).select(*cols, _md5()))
+    query(f"p_{name}_pairs", strategies.oracle(name, fx.two_fields(), cte=fx.PAIRS + ","))(lambda s, d: strategies.perturb(fx.pairs(s, d), name, _PAIR).select(*cols, F.when(F.col("change_count") > 0, _md5(*_PAIR)).alias("corrupted_md5")))
+    query(f"p_{name}_context", strategies.oracle(name, _CONTEXT_SQL, cte=fx.CHOICES + ","))(
+        lambda s, d: strategies.perturb(fx.choices(s, d).withColumns({"kind": F.lit("mrc"), "targets": F.array(F.lit("context"))}), name, "context", targets="targets", kind="kind").select(*cols, _md5())
     )
 
 
-@query("p2_vis_joint_fields", _with(fx.PAIRS, f"""
-, one AS (SELECT sample_id, dataset_name, text_a || chr(1) || text_b AS t, length(text_a) AS la FROM pairs),
-per AS ({strategies.oracle("vis", "SELECT sample_id, dataset_name, t FROM one").replace("len // ", "(len - 1) // ")})
-SELECT sample_id, level, change_count, coalesce(corrupted_md5, md5(t)) AS both_md5 FROM per JOIN one USING (sample_id)""".replace("\n, one", ", one", 1)))
+for _name in STRATEGIES:
+    _perturbation(_name)
+
+
+@query("p7_red_word_han", strategies.oracle("red_word", fx.two_fields("han"), cte=fx.HAN + ",", unit="han"))
+def _(s, d):
+    return strategies.perturb(fx.han(s, d), "red_word", _PAIR, unit="han").select("sample_id", "level", "change_count", F.when(F.col("change_count") > 0, _md5(*_PAIR)).alias("corrupted_md5"))
+
+
+@query("p2_vis_joint_fields", f"WITH {fx.PAIRS},{strategies.sql_steps('vis', fx.two_fields())} SELECT sample_id, level, f, k::BIGINT AS edits FROM b")
+def _(s, d):
+    df = strategies.perturb(fx.pairs(s, d), "vis", _PAIR)
+    each = F.array(*[F.struct(F.lit(i).alias("f"), F.size(F.filter(F.transform("ops", lambda o: o["field"]), _equal(n))).cast("long").alias("edits")) for i, n in enumerate(_PAIR)])
+    return df.select("sample_id", "level", F.inline(each))
+
+
+#: Pairs of which some declare a kind that has no second text, so that their targets are illegal.
+_KIND_SQL = "CASE WHEN length(text_b) % 7 = 0 THEN 'single_text' ELSE 'pair' END"
+
+
+def _kinds(s, d):
+    return fx.pairs(s, d).withColumns({"kind": F.when(F.length("text_b") % 7 == 0, "single_text").otherwise("pair"), "targets": F.array(*map(F.lit, _PAIR))})
+
+
+_EVERY_PAIR = " UNION ALL ".join(f"SELECT '{n}' AS strategy, * FROM ({strategies.oracle(n, fx.two_fields(), cte=fx.PAIRS + ',')})" for n in STRATEGIES)
+
+
+@query("p22_exhaustive_run", f"""WITH {fx.PAIRS}, every AS ({_EVERY_PAIR}), judged AS (SELECT e.*, {_KIND_SQL} <> 'pair' AS bad FROM every e JOIN pairs USING (sample_id))
+SELECT strategy, level, count(*) AS n, count(*) FILTER (NOT bad AND change_count > 0) AS applied, count(*) FILTER (NOT bad AND change_count = 0) AS not_applied, count(*) FILTER (bad) AS invalid FROM judged GROUP BY ALL""")
 def _(s, d):
-    df = strategies.perturb_pair_joint(fx.pairs(s, d))
-    return df.select("sample_id", "level", "change_count", F.md5(F.concat("corrupted_a", F.lit("\x01"), "corrupted_b")).alias("both_md5"))
+    return runner.status_counts(runner.run_every(_kinds(s, d), _PAIR, targets="targets", kind="kind"))
 
 
-@query("p8_runner_status", f"""
-SELECT strategy, level, status, count(*) AS n FROM ({" UNION ALL ".join(f"SELECT '{n}' AS strategy, level, CASE WHEN change_count > 0 THEN 'APPLIED' ELSE 'NOT_APPLIED' END AS status FROM ({strategies.oracle(n)})" for n in ("red_char", "vis"))}) GROUP BY ALL""")
+@query("p8_runner_status", f"""SELECT strategy, level, CASE WHEN change_count > 0 THEN 'APPLIED' ELSE 'NOT_APPLIED' END AS status, count(*) AS n, sum(change_count)::BIGINT AS edits FROM ({_EVERY_PAIR}) GROUP BY ALL""")
 def _(s, d):
-    clean = fx.single(s, d).drop("gold_label")
-    both = [strategies.perturb(clean, n, with_text=False).select(F.lit(n).alias("strategy"), "level", "status") for n in ("red_char", "vis")]
-    return both[0].unionByName(both[1]).groupBy("strategy", "level", "status").agg(F.count("*").alias("n"))
+    return runner.run_every(fx.pairs(s, d), _PAIR).groupBy("strategy", "level", "status").agg(F.count("*").alias("n"), F.sum("change_count").alias("edits"))
 
 
-@query("p10_swap_rate", "SELECT p_partkey, least(0.05, 1.5 * (p_size % 3 + 1) / greatest(p_size, 1))::DOUBLE AS rate FROM part")
+@query("p10_swap_rate", f"SELECT p_partkey, level, least({strategies.sql_case(strategies.RATE['swap'])}::DOUBLE, 150.0::DOUBLE * {strategies.sql_case(strategies.TARGET['swap'])} / greatest(p_size, 1)) AS rate FROM part, (SELECT unnest({LEVELS}) AS level)")
 def _(s, d):
-    return fx.table(s, d, "part").select("p_partkey", F.least(F.lit(0.05), F.lit(1.5) * (F.col("p_size") % 3 + 1) / F.greatest("p_size", F.lit(1))).alias("rate"))
+    df = fx.table(s, d, "part").select("p_partkey", "p_size", F.explode(F.array(*map(F.lit, LEVELS))).alias("level"))
+    return df.select("p_partkey", "level", strategies.swap_rate(F.col("level"), F.col("p_size")).alias("rate"))
 
 
-@query("p11_edit_units", strategies.oracle("del").replace("SELECT k.sample_id, k.level, k.k::BIGINT AS change_count, corrupted_md5 FROM k LEFT JOIN z USING (sample_id, level)", "SELECT sample_id, level, k::BIGINT AS units FROM k"))
+@query("p11_edit_units", f"WITH {fx.PAIRS},{strategies.sql_steps('swap', fx.two_fields())} SELECT sample_id, level, 2 * sum(k)::BIGINT AS units FROM b GROUP BY ALL")
 def _(s, d):
-    return strategies.perturb(fx.single(s, d).drop("gold_label"), "del", with_text=False).select("sample_id", "level", edits.edit_units(F.col("ops")).cast("long").alias("units"))
+    return strategies.perturb(fx.pairs(s, d), "swap", _PAIR).select("sample_id", "level", edits.edit_units(F.col("ops")).cast("long").alias("units"))
 
 
 @query("p16_apply_ops", _with(fx.PAIRS, "SELECT sample_id, 'X' || substr(text_a, 2, 2) || substr(text_a, 3, 1) || '+' || substr(text_a, 4, 1) || substr(text_a, 6) AS edited FROM pairs WHERE length(text_a) >= 5"))
@@ -86,10 +125,10 @@ def _(s, d):
     return fx.pairs(s, d).where(F.length("text_a") >= 5).select("sample_id", edits.apply_ops(F.col("text_a"), ops).alias("edited"))
 
 
-@query("p17_redacted_trace", strategies.oracle("vis").replace("SELECT k.sample_id, k.level, k.k::BIGINT AS change_count, corrupted_md5 FROM k LEFT JOIN z USING (sample_id, level)", "SELECT sample_id, level, j::BIGINT AS op_index, 'replace' AS op_type, pos::BIGINT AS start, (pos + 1)::BIGINT AS stop FROM p"))
+@query("p17_redacted_trace", f"WITH {fx.PAIRS},{strategies.sql_steps('vis', fx.two_fields())} SELECT sample_id, level, j::BIGINT AS op_index, 'replace' AS op_type, CASE f WHEN 0 THEN 'text_a' ELSE 'text_b' END AS field, pos::BIGINT AS start, (pos + 1)::BIGINT AS stop, '1' AS candidates FROM p")
 def _(s, d):
-    df = strategies.perturb(fx.single(s, d).drop("gold_label"), "vis", with_text=False).select("sample_id", "level", F.explode(edits.redact(F.col("ops"))).alias("o"))
-    return df.select("sample_id", "level", "o.op_index", "o.op_type", "o.start", F.col("o.end").alias("stop"))
+    df = strategies.perturb(fx.pairs(s, d), "vis", _PAIR).select("sample_id", "level", F.explode(edits.redact(F.col("ops"))).alias("o"))
+    return df.select("sample_id", "level", "o.op_index", "o.op_type", "o.field", "o.start", F.col("o.end").alias("stop"), F.col("o.metadata")["candidate_count"].alias("candidates"))
 
 
 @query("p18_row_seed", f"SELECT doc_id, lv.level, ('0x' || substr(sha256('42|docs|' || doc_id || '|homo|' || lv.level), 9, 8))::BIGINT & 2147483647 AS seed FROM documents, (SELECT unnest({LEVELS}) AS level) lv")
@@ -100,14 +139,12 @@ def _(s, d):
 
 @query("p19_k_unique_uniform", "SELECT p_partkey, pos FROM (SELECT p_partkey, pos, row_number() OVER (PARTITION BY p_partkey ORDER BY sha256(p_partkey || '|' || pos), pos) AS k FROM (SELECT p_partkey, unnest(range(length(p_name))) AS pos FROM part)) WHERE k <= 3")
 def _(s, d):
-    each = fx.table(s, d, "part").where(F.length("p_name") > 0).select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.length("p_name") - F.lit(1).cast("long"))).alias("pos"))
-    w = Window.partitionBy("p_partkey").orderBy(F.sha2(F.concat_ws("|", "p_partkey", "pos"), 256), "pos")
-    return each.withColumn("k", F.row_number().over(w)).where("k <= 3").drop("k")
+    return strategies.uniform_choice(fx.table(s, d, "part"), "p_partkey", F.length("p_name"), 3, F.col("p_partkey"))
 
 
 @query("p20_rate_rounding", "SELECT p_partkey, greatest(1, round_even(p_size * 0.25, 0))::BIGINT AS n FROM part")
 def _(s, d):
-    return fx.table(s, d, "part").select("p_partkey", F.greatest(F.lit(1), F.bround(F.col("p_size") * 0.25)).cast("long").alias("n"))
+    return fx.table(s, d, "part").select("p_partkey", strategies.rate_count(F.col("p_size"), 0.25).alias("n"))
 
 
 _ELIGIBLE = f"list_filter([CASE WHEN regexp_matches(text_a, '\\p{{L}}') THEN 'homo' END, CASE WHEN regexp_matches(text_a, '\\p{{L}}') THEN 'del' END, CASE WHEN regexp_matches(text_a, '\\p{{L}}') THEN 'swap' END, CASE WHEN regexp_matches(text_a, '\\p{{L}}') THEN 'red_char' END, CASE WHEN regexp_matches(text_a, '\\p{{L}}') THEN 'red_word' END, CASE WHEN regexp_matches(text_a, '{strategies._one_of(strategies.LOOK_ALIKE, strategies.STOP)}') THEN 'vis' END, CASE WHEN regexp_matches(text_a, '\\S') THEN 'add_noise' END], lambda x: x IS NOT NULL)"
@@ -120,11 +157,15 @@ def _(s, d):
 
 _ASSIGNED = f"""{fx.SINGLE},
 el AS (SELECT sample_id, dataset_name, {_ELIGIBLE} AS eligible, ('0x' || substr(sha256('assign|docs|' || sample_id), 1, 8))::BIGINT AS h FROM single),
-assigned AS (SELECT sample_id, eligible[1 + (row_number() OVER (PARTITION BY eligible, h % 256 ORDER BY h, sample_id) - 1 + h % 256) % greatest(len(eligible), 1)] AS strategy FROM el)"""
+assigned AS (SELECT sample_id, eligible[1 + (row_number() OVER (PARTITION BY eligible ORDER BY h, sample_id) - 1) % greatest(len(eligible), 1)] AS strategy FROM el)"""
+
+
+def _eligible(s, d):
+    return fx.single(s, d).select("sample_id", "dataset_name", assign.eligible(F.col("text_a")).alias("eligible"))
 
 
 def _assigned(s, d):
-    return assign.assign_balanced(fx.single(s, d).select("sample_id", "dataset_name", assign.eligible(F.col("text_a")).alias("eligible")))
+    return assign.assign_balanced(_eligible(s, d))
 
 
 @query("p25_balanced_assignment", _with(_ASSIGNED, "SELECT sample_id, strategy FROM assigned"))
@@ -138,15 +179,17 @@ def _(s, d):
 
 
 _EVERY = " UNION ALL ".join(f"SELECT '{n}' AS strategy, * FROM ({strategies.oracle(n)})" for n in STRATEGIES)
-# where the assigned strategy changes nothing, the first by name that does
-_RUN = f"""{_ASSIGNED}, every AS ({_EVERY}), works AS (SELECT sample_id, strategy FROM every WHERE level = 'low' AND change_count > 0), first AS (SELECT sample_id, min(strategy) AS strategy FROM works GROUP BY ALL),
+# where the assigned strategy changes nothing, the least assigned one that is eligible and does, then by name
+_RUN = f"""{_ASSIGNED}, every AS ({_EVERY}), used AS (SELECT strategy, count(*) AS used FROM assigned GROUP BY ALL),
+works AS (SELECT e.sample_id, strategy, coalesce(used, 0) AS used FROM every e JOIN el USING (sample_id) LEFT JOIN used USING (strategy) WHERE level = 'low' AND change_count > 0 AND list_contains(eligible, strategy)),
+first AS (SELECT sample_id, arg_min(strategy, (used, strategy)) AS strategy FROM works GROUP BY ALL),
 chosen AS (SELECT a.sample_id, coalesce(w.strategy, f.strategy) AS strategy FROM assigned a LEFT JOIN works w ON a.sample_id = w.sample_id AND a.strategy = w.strategy LEFT JOIN first f ON a.sample_id = f.sample_id),
 run AS (SELECT e.* FROM chosen c JOIN every e ON c.sample_id = e.sample_id AND c.strategy = e.strategy)"""
 
 
 @query("p24_assigned_run", _with(_RUN, "SELECT sample_id, strategy, level, change_count, corrupted_md5 FROM run"))
 def _(s, d):
-    return runner.run_assigned(fx.single(s, d).drop("gold_label")).where("strategy is not null").select("sample_id", "strategy", "level", "change_count", F.md5("corrupted").alias("corrupted_md5"))
+    return runner.run_assigned(fx.single(s, d).drop("gold_label")).where("strategy is not null").select("sample_id", "strategy", "level", "change_count", _md5())
 
 
 @query("g11_status_counts", _with(_RUN, "SELECT strategy, level, CASE WHEN change_count > 0 THEN 'APPLIED' ELSE 'NOT_APPLIED' END AS status, count(*) AS n FROM run GROUP BY ALL"))
@@ -154,17 +197,16 @@ def _(s, d):
     return runner.run_assigned(fx.single(s, d).drop("gold_label")).where("strategy is not null").groupBy("strategy", "level", "status").agg(F.count("*").alias("n"))
 
 
-@query("o2_constrained_first", _with(_ASSIGNED, "SELECT sample_id, row_number() OVER (PARTITION BY h % 256 ORDER BY len(eligible), h, sample_id) AS place FROM el"))
+@query("o2_constrained_first", _with(_ASSIGNED, "SELECT sample_id, row_number() OVER (ORDER BY len(eligible), h, sample_id) - 1 AS place FROM el"))
 def _(s, d):
-    df = fx.single(s, d).select("sample_id", F.size(assign.eligible(F.col("text_a"))).alias("n"), keys.hex_number(F.concat_ws("|", F.lit("assign"), "dataset_name", "sample_id")).alias("h"))
-    w = Window.partitionBy(F.pmod("h", F.lit(256))).orderBy("n", "h", "sample_id")  # ordered within hash buckets, never as a whole
-    return df.select("sample_id", F.row_number().over(w).cast("long").alias("place"))
+    return assign.numbered(_eligible(s, d), "place", [], "sample_id", "assign", [F.size("eligible")]).select("sample_id", "place")
 
 
-@query("p22_exhaustive_plan", _with(fx.SINGLE, f"SELECT st, lv, count(*) AS n FROM single, (SELECT unnest({STRATEGIES}) AS st), (SELECT unnest({LEVELS}) AS lv) GROUP BY ALL"))
+# sets of few strategies choose first; the one set that holds all seven fills what is least used, so counts are even over the whole table
+@query("p26_constrained_assignment", _with(_ASSIGNED, "SELECT count(*) FILTER (len(eligible) > 0) AS n, count(*) FILTER (len(eligible) > 0) % 7 = 0 AS equal FROM el"))
 def _(s, d):
-    pick = lambda xs, n: s.sql("SELECT * FROM VALUES " + ", ".join(f"('{x}')" for x in xs) + f" AS v({n})")
-    return fx.single(s, d).crossJoin(F.broadcast(pick(STRATEGIES, "st"))).crossJoin(F.broadcast(pick(LEVELS, "lv"))).groupBy("st", "lv").agg(F.count("*").alias("n"))
+    g = assign.assign_constrained(_eligible(s, d)).where("strategy is not null").groupBy("strategy").agg(F.count("*").alias("n"))
+    return g.agg(F.sum("n").alias("n"), (F.max("n") == F.min("n")).alias("equal"))
 
 
 # -- adapters and projections -------------------------------------------------------------------
@@ -184,10 +226,10 @@ def _raw_turns(s, d):
     return fx.table(s, d, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
 
 
-_BIN = "CASE gold_label WHEN '0' THEN 'different' WHEN '1' THEN 'same' END"
+_NAMES = {d: "CASE gold_label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END" for d, names in LABEL_TEXT.items()}
 
 
-@query("b1_pawsx_adapter", "WITH" + _pair_sql("pawsx_zh", "(turn % 4)::VARCHAR", _BIN, "role", "text"))
+@query("b1_pawsx_adapter", "WITH" + _pair_sql("pawsx_zh", "(turn % 4)::VARCHAR", _NAMES["pawsx_zh"], "role", "text"))
 def _(s, d):
     return adapters.adapt_pair(_raw_turns(s, d).withColumn("label", F.col("turn") % 4), "pawsx_zh", "id", "role", "text", "label")
 
@@ -198,7 +240,7 @@ def _(s, d):
     return adapters.adapt_pair(_raw_turns(s, d).withColumn("gl", F.when(m == 0, " Entailment").when(m == 1, "neutral").when(m == 2, "contradiction").otherwise("random")), "xnli_zh", "id", "role", "text", "gl")
 
 
-@query("b3_lcqmc_adapter", "WITH" + _pair_sql("lcqmc", "(turn % 3)::VARCHAR", _BIN, "CASE WHEN turn % 2 = 0 THEN role ELSE text END", "text"))
+@query("b3_lcqmc_adapter", "WITH" + _pair_sql("lcqmc", "(turn % 3)::VARCHAR", _NAMES["lcqmc"], "CASE WHEN turn % 2 = 0 THEN role ELSE text END", "text"))
 def _(s, d):
     raw = _raw_turns(s, d).withColumn("sentence1", F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("  "))
     return adapters.adapt_pair(raw.withColumn("label", F.concat((F.col("turn") % 3).cast("string"), F.lit(".0"))), "lcqmc", "id", ["sentence1", "text"], "text", "label")
@@ -221,9 +263,9 @@ def _(s, d):
     return fx.table(s, d, "events").select("event_id", labels.coerce_int(F.col("value").cast("string")).alias("from_number"), labels.coerce_int(F.col("event_type")).alias("from_text"))
 
 
-@query("b7_label_decode", _with(fx.PAIRS, "SELECT sample_id, CASE gold_label WHEN '0' THEN 'different' WHEN '1' THEN 'same' END AS name FROM pairs"))
+@query("b7_label_decode", _with(fx.PAIRS, f"SELECT sample_id, {_NAMES['pawsx_zh']} AS paraphrase, {_NAMES['lcqmc']} AS matching FROM pairs"))
 def _(s, d):
-    return fx.pairs(s, d).select("sample_id", labels.decode(F.col("gold_label"), {"0": "different", "1": "same"}).alias("name"))
+    return fx.pairs(s, d).select("sample_id", labels.decode(F.col("gold_label"), LABEL_TEXT["pawsx_zh"]).alias("paraphrase"), labels.decode(F.col("gold_label"), LABEL_TEXT["lcqmc"]).alias("matching"))
 
 
 @query("b8_star_polarity", "SELECT p_partkey, CASE WHEN p_size % 7 IN (1, 2) THEN 'negative' WHEN p_size % 7 IN (4, 5) THEN 'positive' END AS polarity, CASE WHEN p_size % 7 IN (1, 2, 4, 5) THEN 'ACCEPTED' WHEN p_size % 7 = 3 THEN 'EXCLUDED' ELSE 'INVALID' END AS status FROM part")
@@ -260,22 +302,24 @@ _QUERIES["b12_sample_id"] = lambda s, d: adapters.flatten_choice(_nested(s, d),
 _ORACLES["b12_sample_id"] = "SELECT 'c3-d-test-' || c_custkey || '-0' AS sample_id FROM customer"
 
 
-@query("b13_target_fields", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'question' ELSE '' END AS illegal FROM documents")
+@query("b13_target_fields", _with(fx.PAIRS, f"SELECT sample_id, CASE WHEN {_KIND_SQL} = 'pair' THEN '' ELSE 'text_b' END AS illegal FROM pairs"))
 def _(s, d):
-    targets = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("context"), F.lit("question"))).otherwise(F.array(F.lit("context")))
-    return fx.table(s, d, "documents").select("doc_id", F.array_join(F.array_except(targets, F.array(F.lit("context"))), ",").alias("illegal"))
+    return _kinds(s, d).select("sample_id", F.array_join(calls.illegal_targets(F.col("targets"), F.col("kind")), ",").alias("illegal"))
 
 
-@query("b14_call_validation", "SELECT event_id, CASE WHEN event_type NOT IN ('low', 'click', 'view') THEN 'unknown_level' WHEN value < 0 THEN 'negative_seed' END AS reason FROM events")
+@query("b14_call_validation", _with(fx.PAIRS, f"""SELECT sample_id, CASE WHEN length(text_a) % 5 = 0 THEN 'unknown_level' WHEN length(text_a) % 5 = 1 THEN 'negative_seed' WHEN length(text_a) % 5 = 2 THEN 'no_target_field'
+WHEN {_KIND_SQL} <> 'pair' THEN 'illegal_target_field' END AS reason FROM pairs"""))
 def _(s, d):
-    return fx.table(s, d, "events").select("event_id", F.when(~F.col("event_type").isin("low", "click", "view"), "unknown_level").when(F.col("value") < 0, "negative_seed").alias("reason"))
+    m = F.length("text_a") % 5
+    level, seed, targets = F.when(m == 0, "extreme").otherwise("low"), F.when(m == 1, -1).otherwise(7), F.when(m == 2, F.array().cast("array<string>")).otherwise(F.col("targets"))
+    return _kinds(s, d).select("sample_id", calls.problem(level, seed, targets, F.col("kind")).alias("reason"))
 
 
-@query("b17_safe_metadata", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR END AS kept, 0 AS texts FROM documents")
+@query("b17_safe_metadata", "SELECT doc_id, doc_id::VARCHAR AS kept, 1 AS members, 0 AS texts FROM documents")
 def _(s, d):
-    meta = F.create_map(F.lit("candidate_count"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise("many"), F.lit("note"), F.lit("free text"))
+    meta = F.create_map(F.lit("candidate_count"), F.col("doc_id").cast("string"), F.lit("note"), F.lit("free text"))
     o = edits.redact(F.array(edits.op("replace", F.lit(0), F.lit(1), F.lit("a"), F.lit("b"), metadata=meta)))
-    return fx.table(s, d, "documents").select("doc_id", o[0]["metadata"]["candidate_count"].alias("kept"), F.instr(F.to_json(o), "original").alias("texts"))
+    return fx.table(s, d, "documents").select("doc_id", o[0]["metadata"]["candidate_count"].alias("kept"), F.size(o[0]["metadata"]).alias("members"), F.instr(F.to_json(o), "original").alias("texts"))
 
 
 _SQL_PROMPT = "'" + prompts.TEMPLATES["lcqmc-binary-v2"][2].replace("'", "''").replace("{text_a}", "' || text_a || '").replace("{text_b}", "' || text_b || '") + "'"
@@ -306,9 +350,9 @@ def _(s, d):
     return prompts.registry(s)
 
 
-@query("b23_log_metadata", _with(fx.SAMPLES, "SELECT sample_id, coalesce(corruption_name, 'clean') AS corruption, coalesce(corruption_level, 'n/a') AS level, CASE WHEN corruption_applied THEN 'APPLIED' END AS corruption_status FROM sampled"))
+@query("b23_log_metadata", _with(fx.SAMPLES, "SELECT sample_id, coalesce(corruption_name, 'clean') AS corruption, coalesce(corruption_level, 'n/a') AS level, CASE WHEN corruption_name IS NOT NULL THEN CASE WHEN corruption_applied AND change_count > 0 THEN 'APPLIED' ELSE 'NOT_APPLIED' END END AS corruption_status FROM sampled"))
 def _(s, d):
-    return fx.samples(s, d).select("sample_id", F.coalesce("corruption_name", F.lit("clean")).alias("corruption"), F.coalesce("corruption_level", F.lit("n/a")).alias("level"), F.when(F.col("corruption_applied"), "APPLIED").alias("corruption_status"))
+    return endpoints.log_identity(fx.samples(s, d)).select("sample_id", "corruption", "level", "corruption_status")
 
 
 @query("b24_response_text", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type WHEN 2 THEN event_type ELSE '' END AS content FROM events")
@@ -333,9 +377,10 @@ def _(s, d):
     return fx.samples(s, d).groupBy(F.coalesce("corruption_applied", F.lit(True)).alias("applied")).agg(F.count("*").alias("n"))
 
 
-@query("b28_metadata_merge", "SELECT doc_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, source) AS task FROM documents")
+@query("b28_metadata_merge", "SELECT doc_id, coalesce(lang, source) AS task FROM documents")
 def _(s, d):
-    return fx.table(s, d, "documents").select("doc_id", F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("source")).alias("task"))
+    df = fx.table(s, d, "documents").withColumnsRenamed({"lang": "benchmark_task_type", "source": "task_type"})
+    return df.select("doc_id", labels.task_of(df, "benchmark_task_type", "task", "task_type").alias("task"))
 
 
 @query("b29_line_separators", "SELECT doc_id, contains(CASE WHEN doc_id % 5 = 0 THEN text || chr(8232) ELSE text END, chr(8232)) AS unsafe FROM documents")
@@ -344,10 +389,17 @@ def _(s, d):
     return fx.table(s, d, "documents").select("doc_id", text.has_line_separator(F.struct(F.array(F.struct(t.alias("x"))).alias("nested"))).alias("unsafe"))
 
 
-@query("b30_file_stats", "SELECT user_id, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS success, count(DISTINCT event_type) AS n_keys FROM events GROUP BY user_id")
+def _file_stats(s, d):
+    """Statistics of a user's events by type, as a list of objects for even users and as an object of objects for others."""
+    n = fx.table(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("success"))
+    g = n.groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("file_key"), "success")).alias("l"))
+    as_map = F.map_from_entries(F.transform("l", lambda x: F.struct(x["file_key"].alias("k"), F.struct(x["success"].alias("success")).alias("v"))))
+    return g.select("user_id", F.when(F.col("user_id") % 2 == 0, F.to_json("l")).otherwise(F.to_json(as_map)).alias("file_stats"))
+
+
+@query("b30_file_stats", "SELECT user_id, count(*) AS expected, count(DISTINCT event_type) AS files FROM events GROUP BY user_id")
 def _(s, d):
-    e = fx.table(s, d, "events").select("user_id", "event_type", F.from_json("props", "k bigint").alias("p"))
-    return e.groupBy("user_id").agg(F.sum("p.k").alias("success"), F.countDistinct("event_type").alias("n_keys"))
+    return audit.sum_success(_file_stats(s, d), ["user_id"])
 
 
 @query("b31_op_violations", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'end_before_start' WHEN doc_id % 4 = 1 THEN 'op_index_gap' WHEN doc_id % 4 = 2 THEN 'foreign_field' ELSE '' END AS violations FROM documents")
@@ -357,6 +409,28 @@ def _(s, d):
     return fx.table(s, d, "documents").select("doc_id", F.array_join(edits.violations(F.array(o), F.array(F.lit("text_a"))), ",").alias("violations"))
 
 
+def _samples(s, d):
+    """Pairs as whole samples, some of them spoilt, by the lengths of their texts."""
+    df = adapters.envelope(fx.pairs(s, d).withColumn("gold_label_text", labels.decode(F.col("gold_label"), LABEL_TEXT["lcqmc"])), "lcqmc", "1", "question_matching").withColumns({"__m": F.length("clean_payload.text_a") % 13, "__n": F.length("clean_payload.text_b") % 5})
+    m, n = F.col("__m"), F.col("__n")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in SAMPLE}
+    payload = F.struct(*[(F.col(f"clean_payload.{f.name}") if f.name in ("payload_kind", "text_a", "text_b") else F.lit(None).cast(f.dataType)).alias(f.name) for f in PAYLOAD])
+    have = {c: F.col(c) for c in df.columns if c in none} | {
+        "clean_payload": payload, "split": F.when(m == 0, "train").otherwise("test"), "language": F.when(m == 1, "en").otherwise("zh"), "benchmark_task_type": F.when(m == 2, "nli").otherwise("question_matching"),
+        "target_fields": F.when(m == 3, F.array().cast("array<string>")).when(m == 4, F.array(F.lit("text_a"), F.lit("text_a"))).when(m == 5, F.array(F.lit("context"))).otherwise(F.col("target_fields")),
+        "gold_label": F.when(m == 6, "2").otherwise(F.col("gold_label")), "label_projection_status": F.when(m == 7, "accepted").otherwise("not_applicable"), "change_count": F.when(m == 8, 3).otherwise(0).cast("long"),
+        "corruption_applied": F.lit(False), "corruption_name": F.when(n == 0, "vis"), "corruption_level": F.when(n == 0, "low"), "corruption_seed": F.when(n == 0, 5).cast("long"), "failure_reason": F.when((n == 0) & (m != 9), "no_eligible_place"),
+    }
+    return df.select([(have.get(c) if c in have else v).cast(SAMPLE[c].dataType).alias(c) for c, v in none.items()])
+
+
+@query("b31_sample_violations", _with(fx.PAIRS, """SELECT sample_id, array_to_string(list_filter([CASE WHEN m = 0 THEN 'split_not_test' END, CASE WHEN m = 1 THEN 'language_not_zh' END, CASE WHEN m = 2 THEN 'task_mismatch' END, CASE WHEN m = 3 THEN 'no_target_field' END,
+CASE WHEN m = 4 THEN 'repeated_target_field' END, CASE WHEN m = 5 THEN 'illegal_target_field' END, CASE WHEN m IN (2, 6) THEN 'label_outside_space' END, CASE WHEN m = 7 THEN 'projection_without_need' END,
+CASE WHEN n <> 0 AND m = 8 THEN 'clean_state' END, CASE WHEN n = 0 AND m IN (8, 9) THEN 'failure_state' END], lambda x: x IS NOT NULL), ',') AS violations FROM (SELECT sample_id, length(text_a) % 13 AS m, length(text_b) % 5 AS n FROM pairs)"""))
+def _(s, d):
+    return samples.validate(_samples(s, d)).select("sample_id", F.array_join("violations", ",").alias("violations"))
+
+
 @query("b32_show_secret", "SELECT c_custkey, CASE WHEN length(c_name) <= 8 THEN '****' ELSE left(c_name, 4) || '...' || right(c_name, 4) END AS shown FROM customer")
 def _(s, d):
     return fx.table(s, d, "customer").select("c_custkey", text.show_secret(F.col("c_name")).alias("shown"))
@@ -388,15 +462,21 @@ def _(s, d):
     return _stems(s, d).select("event_id", b["strategy"].alias("strategy"), b["level"].alias("level"), b["is_clean"].alias("is_clean"))
 
 
-@query("a3_record_codec", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+@query("a3_record_codec", _with(fx.PAIRS, "SELECT sample_id, text_a, text_b, gold_label, array_to_string(CASE length(text_a) % 13 WHEN 3 THEN [] WHEN 4 THEN ['text_a', 'text_a'] WHEN 5 THEN ['context'] ELSE ['text_a', 'text_b'] END, ',') AS targets, true AS same FROM (SELECT * REPLACE (CASE WHEN length(text_a) % 13 = 6 THEN '2' ELSE gold_label END AS gold_label) FROM pairs)"))
+def _(s, d):
+    whole = _samples(s, d).withColumn("j", F.to_json(F.struct("*")))
+    back = whole.select("j", F.from_json("j", SAMPLE).alias("r"))
+    return back.select("r.sample_id", "r.clean_payload.text_a", "r.clean_payload.text_b", "r.gold_label", F.array_join("r.target_fields", ",").alias("targets"), (F.to_json("r") == F.col("j")).alias("same"))
+
+
+@query("a4_keyed_scan", _with(fx.SAMPLES, "SELECT dataset_name, sample_id, corruption_name, corruption_level FROM sampled"))
 def _(s, d):
-    c = fx.table(s, d, "customer").select(F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")).alias("j"))
-    return c.select(F.from_json("j", "c_custkey bigint, c_name string, c_acctbal double").alias("r")).select("r.*")
+    return readers.unique(fx.samples(s, d), metrics.KEY).select(*metrics.KEY)
 
 
-@query("a4_keyed_scan", _with(fx.SAMPLES, "SELECT dataset_name, sample_id, corruption_name, corruption_level, count(*) AS n FROM sampled GROUP BY ALL HAVING count(*) = 1"))
+@query("a6_log_identity", _with(fx.RESPONSES, "SELECT dataset_name, count(*) AS n FROM records GROUP BY ALL"))
 def _(s, d):
-    return fx.samples(s, d).groupBy(*metrics.KEY).agg(F.count("*").alias("n")).where("n = 1")
+    return readers.with_identity(fx.responses(s, d)).groupBy("dataset_name").agg(F.count("*").alias("n"))
 
 
 @query("a9_request_keys", _with(fx.REQUESTS, "SELECT DISTINCT request_key FROM requests WHERE NOT is_error"))
@@ -404,41 +484,72 @@ def _(s, d):
     return request_log.done_keys(fx.requests(s, d))
 
 
-@query("a10_expected_count", "SELECT count(*) AS n, count(*) = (SELECT count(*) FROM orders) AS as_expected FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+@query("a10_expected_count", "SELECT count(*) AS n FROM documents")
 def _(s, d):
-    n = fx.table(s, d, "lineitem").select("l_orderkey").distinct().agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(fx.table(s, d, "orders").agg(F.count("*").alias("m")))).select("n", (F.col("n") == F.col("m")).alias("as_expected"))
+    docs = fx.table(s, d, "documents")
+    return readers.expected_rows(docs, docs.select("doc_id").distinct().count()).agg(F.count("*").alias("n"))
 
 
-@query("a11_positional_ids", "SELECT r_name, 'lcqmc-test-' || lpad((row_number() OVER (ORDER BY r_regionkey) - 1)::VARCHAR, 5, '0') AS sample_id FROM region")
+@query("a11_positional_ids", "SELECT c_name, 'lcqmc-test-' || lpad((row_number() OVER (ORDER BY c_custkey) - 1)::VARCHAR, 5, '0') AS id FROM customer")
 def _(s, d):
-    return fx.table(s, d, "region").select("r_name", F.concat(F.lit("lcqmc-test-"), F.lpad((F.row_number().over(Window.orderBy("r_regionkey")) - 1).cast("string"), 5, "0")).alias("sample_id"))
+    rows = fx.table(s, d, "customer").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "c_name")
+    return readers.positional_ids(rows, "file", "row").select("c_name", "id")
 
 
 @query("a12_language_filter", "SELECT lang, count(*) AS n FROM documents WHERE lang = 'de' GROUP BY ALL")
 def _(s, d):
-    return fx.table(s, d, "documents").where("lang = 'de'").groupBy("lang").agg(F.count("*").alias("n"))
+    return readers.only_language(fx.table(s, d, "documents"), "de", "lang").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("a17_manifest", """SELECT '{"total":' || sum(n)::BIGINT || ',"counts":{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '},"seed":"42"}' AS manifest FROM (SELECT coalesce(source, 'null') AS k, count(*) AS n FROM documents GROUP BY ALL)""")
+def _(s, d):
+    return sinks.manifest(fx.table(s, d, "documents"), "source", seed="42")
+
+
+@query("a18_sidecar", "SELECT 'r1' AS run_id, 'asap___test___' || p_partkey AS sample_uid, p_partkey::VARCHAR AS sample_id, p_size % 4 = 3 AS is_clean, CASE p_size % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END AS corruption_level, 15 AS members FROM part")
+def _(s, d):
+    df = _keyed(s, d).withColumns({"dataset_name": F.lit("asap"), "split": F.lit("test"), "corruption_seed": F.col("seed"), "model": F.lit("m"), "prompt_version": F.lit("v2"), "status": F.lit("recovered"), "record_id": F.col("p_partkey")})
+    out = sinks.sidecar(df, "r1")
+    return out.select("run_id", "sample_uid", "sample_id", "is_clean", "corruption_level", F.lit(len(out.columns)).alias("members"))
 
 
-@query("a17_manifest", "SELECT source AS dataset, count(*) AS n, count(DISTINCT lang) AS langs FROM documents GROUP BY ALL")
+def _catalog(s, d):
+    """A run for each user, of which the odd ones have their id from the file's name and some are dry runs."""
+    u = fx.table(s, d, "events").groupBy("user_id").agg((F.count("*") % 3 == 0).alias("dry_run"))
+    body = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("run-"), "user_id")).otherwise("")
+    return u.select("user_id", "dry_run", readers.run_id_of(body, F.concat(F.lit("file-"), "user_id", F.lit("_manifest.json"))).alias("run_id"))
+
+
+_CATALOG = "SELECT user_id, count(*) % 3 = 0 AS dry_run, CASE WHEN user_id % 2 = 0 THEN 'run-' || user_id ELSE 'file-' || user_id END AS run_id FROM events GROUP BY user_id"
+
+
+@query("a19_run_catalog", _CATALOG)
 def _(s, d):
-    return fx.table(s, d, "documents").groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs"))
+    return _catalog(s, d)
 
 
-@query("a19_run_catalog", "SELECT user_id, coalesce(nullif(CASE WHEN user_id % 2 = 0 THEN 'run-' || user_id ELSE '' END, ''), 'file-' || user_id) AS run_id FROM (SELECT DISTINCT user_id FROM events)")
+@query("v3_dry_runs", f"SELECT run_id FROM ({_CATALOG}) WHERE NOT dry_run")
 def _(s, d):
-    u = fx.table(s, d, "events").select("user_id").distinct()
-    return u.select("user_id", F.coalesce(F.nullif(F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("run-"), "user_id")).otherwise(""), F.lit("")), F.concat(F.lit("file-"), "user_id")).alias("run_id"))
+    return readers.without_dry_runs(_catalog(s, d)).select("run_id")
 
 
 @query("a20_content_hash", "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
 def _(s, d):
-    return fx.table(s, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return fx.table(s, d, "documents").select("doc_id", readers.content_hash(F.coalesce("text", F.lit(""))).alias("sha256"))
 
 
-@query("a23_mock_endpoint", "SELECT doc_id, coalesce(quality::VARCHAR, '__UNKNOWN__') AS response FROM documents LEFT JOIN labels USING (doc_id)")
+@query("a21_provenance", "SELECT source AS file_name, sum(length(coalesce(text, '')))::BIGINT AS file_size, (SELECT count(*) FROM documents) AS observed_row_count, 'doc_id,text' AS expected, 17 AS members FROM documents WHERE source IS NOT NULL GROUP BY ALL")
 def _(s, d):
-    return fx.table(s, d, "documents").select("doc_id").join(fx.table(s, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("__UNKNOWN__")).alias("response"))
+    docs = fx.table(s, d, "documents")
+    files = docs.where("source is not null").groupBy(F.col("source").alias("file_name")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("file_size"), F.lit("").alias("sha256"))
+    out = sinks.provenance(docs, files, ["doc_id", "text"], dataset="docs", canonical_source_url="", resolved_url="", official_split="test", license_access_note="", code_commit="")
+    return out.select("file_name", "file_size", "observed_row_count", F.array_join("expected_fields", ",").alias("expected"), F.lit(len(out.columns)).alias("members"))
+
+
+@query("a23_mock_endpoint", "SELECT doc_id::VARCHAR AS request_key, coalesce(quality::VARCHAR, '__UNKNOWN__') AS response FROM documents LEFT JOIN labels USING (doc_id)")
+def _(s, d):
+    known = fx.table(s, d, "labels").select(F.col("doc_id").cast("string").alias("request_key"), F.col("quality").cast("string").alias("response"))
+    return endpoints.mock_model(fx.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("request_key")), known)
 
 
 # -- keys and parses ------------------------------------------------------------------------------
@@ -501,15 +612,25 @@ def _(s, d):
     return fx.table(s, d, "nation").select("n_nationkey", labels.letter(F.col("n_nationkey")).alias("letter"))
 
 
+@query("d5_legacy_label", "SELECT c_custkey, lower(c_mktsegment) AS label FROM customer")
+def _(s, d):
+    return fx.table(s, d, "customer").select("c_custkey", labels.legacy_normalize(F.concat(F.lit("  "), "c_mktsegment", F.lit("\n"))).alias("label"))
+
+
+@query("d6_raw_label", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS label FROM customer")
+def _(s, d):
+    raw = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" "), "c_mktsegment", F.lit("\t"))).otherwise(" \n ")
+    return fx.table(s, d, "customer").select("c_custkey", labels.raw_label(raw).alias("label"))
+
+
 @query("d14_response_assembly", "SELECT c_custkey, '{\"choices\":[{\"message\":{\"role\":\"assistant\",\"content\":\"' || c_mktsegment || '\"}}]}' AS body FROM customer")
 def _(s, d):
-    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("assistant").alias("role"), F.col("c_mktsegment").alias("content")).alias("message"))).alias("choices")))
-    return fx.table(s, d, "customer").select("c_custkey", body.alias("body"))
+    return fx.table(s, d, "customer").select("c_custkey", endpoints.response_body(F.col("c_mktsegment")).alias("body"))
 
 
 @query("d15_log_record", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '{\"id\":' || c_custkey || ',\"error\":\"x\"}' ELSE '{\"id\":' || c_custkey || '}' END AS line FROM customer")
 def _(s, d):
-    return fx.table(s, d, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "x").alias("error"))).alias("line"))
+    return fx.table(s, d, "customer").select("c_custkey", endpoints.log_record(id=F.col("c_custkey"), error=F.when(F.col("c_custkey") % 2 == 0, "x")).alias("line"))
 
 
 # -- joins, metrics ---------------------------------------------------------------------------------
@@ -519,6 +640,10 @@ def _outcomes(s, d):
     return metrics.outcomes(fx.samples(s, d), fx.responses(s, d))
 
 
+def _facts(s, d):
+    return metrics.facts(_outcomes(s, d))
+
+
 @query("j1_sample_response", _with(fx.RESPONSES, "SELECT dataset_name, sample_id, corruption_name, corruption_level, has_response, correct, parse_failed FROM outcomes"))
 def _(s, d):
     return _outcomes(s, d).select(*metrics.KEY, "has_response", "correct", "parse_failed")
@@ -529,10 +654,10 @@ def _(s, d):
     return metrics.paired(_outcomes(s, d)).select(*metrics.KEY, "correct", "clean_correct")
 
 
-@query("j3_resume", _with(fx.REQUESTS, "SELECT request_key, count(*) AS n FROM requests WHERE request_key NOT IN (SELECT request_key FROM requests WHERE NOT is_error AND event_id % 2 = 0) GROUP BY ALL"))
+@query("j3_resume", _with(fx.REQUESTS, "SELECT request_key, count(*) AS n FROM requests WHERE request_key NOT IN (SELECT request_key FROM requests WHERE NOT is_error) GROUP BY ALL"))
 def _(s, d):
     r = fx.requests(s, d)
-    return request_log.pending(r, r.where("event_id % 2 = 0")).groupBy("request_key").agg(F.count("*").alias("n"))
+    return request_log.pending(r, r).groupBy("request_key").agg(F.count("*").alias("n"))
 
 
 _RECOVERED = f"{_KEYED}, cand AS (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN 'none' ELSE request_key END AS rebuilt FROM keyed)"
@@ -549,19 +674,21 @@ def _(s, d):
     return _recovered(s, d).select("record_id", "sample_uid", "status")
 
 
-@query("g16_match_outcomes", _with(_RECOVERED, "SELECT CASE WHEN rebuilt = request_key THEN 'recovered' ELSE 'unmatched' END AS status, count(*) AS n FROM cand GROUP BY ALL"))
+@query("g16_match_outcomes", _with(_RECOVERED, "SELECT corruption_level, count(*) AS records, count(*) FILTER (rebuilt = request_key) AS recovered, count(*) FILTER (rebuilt <> request_key) AS unmatched FROM (SELECT *, lvl AS corruption_level FROM cand) GROUP BY ALL"))
 def _(s, d):
-    return _recovered(s, d).groupBy("status").agg(F.count("*").alias("n"))
+    where = _keyed(s, d).select(F.col("p_partkey").alias("record_id"), "corruption_level")
+    return recover.outcome_counts(_recovered(s, d).join(where, "record_id"), ["corruption_level"]).drop("ambiguous", "no_messages")
 
 
-@query("j5_audit_join", "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("j5_audit_join", "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def _(s, d):
-    return fx.table(s, d, "labels").select("doc_id", "quality").join(fx.table(s, d, "documents").where("doc_id % 2 = 0").select("doc_id"), "doc_id", "left_anti")
+    english = readers.only_language(fx.table(s, d, "documents"), "en", "lang")
+    return fx.table(s, d, "labels").select("doc_id", "quality").join(audit.within(fx.table(s, d, "labels"), english, "doc_id"), "doc_id")
 
 
 @query("j6_keys_within_manifest", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def _(s, d):
-    return fx.table(s, d, "orders").select("o_custkey").join(fx.table(s, d, "customer").where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").distinct()
+    return audit.within(fx.table(s, d, "orders"), fx.table(s, d, "customer").where("c_acctbal > 0").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
 
 
 @query("j7_assignment_lookup", _with(_ASSIGNED, "SELECT s.sample_id, gold_label, strategy FROM single s JOIN assigned USING (sample_id)"))
@@ -569,15 +696,18 @@ def _(s, d):
     return fx.single(s, d).select("sample_id", "gold_label").join(_assigned(s, d).select("sample_id", "strategy"), "sample_id")
 
 
-@query("j8_dimension_lookup", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+_DIMENSIONS = ", ".join(f"('{x}', '{t}', '{KIND_OF[t]}', {len(LABELS_OF.get(t, []))})" for x, t in TASK_OF.items())
+
+
+@query("j8_dimension_lookup", f"SELECT p_partkey, task, payload_kind, n_labels FROM part JOIN (VALUES {_DIMENSIONS}) AS v(dataset_name, task, payload_kind, n_labels) ON dataset_name = ({list(TASK_OF)})[1 + p_size % 5]")
 def _(s, d):
-    c, n, r = (fx.table(s, d, t) for t in ("customer", "nation", "region"))
-    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
+    part = fx.table(s, d, "part").withColumn("dataset_name", F.get(F.array(*map(F.lit, TASK_OF)), F.col("p_size") % 5))
+    return part.join(F.broadcast(samples.dimensions(s)), "dataset_name").select("p_partkey", "task", "payload_kind", F.size("labels").alias("n_labels"))  # five rows
 
 
 @query("j10_overlap", "SELECT count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)")
 def _(s, d):
-    return fx.table(s, d, "documents").select("doc_id").intersect(fx.table(s, d, "labels").select("doc_id")).agg(F.count("*").alias("n"))
+    return audit.overlap(fx.table(s, d, "documents"), fx.table(s, d, "labels"), ["doc_id"]).agg(F.count("*").alias("n"))
 
 
 _PCT = lambda a, b: f"{a}::DOUBLE / nullif({b}, 0) * 100.0"
@@ -586,85 +716,83 @@ _CLEAN_SQL = f"cm AS (SELECT dataset_name, count(*) AS total, count(*) FILTER (c
 
 @query("g1_clean_metrics", _with(f"{fx.RESPONSES}, {_CLEAN_SQL}", f"SELECT *, {_PCT('correct', 'total')} AS accuracy_pct, {_PCT('parse_fail', 'total')} AS parse_fail_pct FROM cm"))
 def _(s, d):
-    return metrics.clean_metrics(_outcomes(s, d))
+    return metrics.clean_metrics(_facts(s, d))
 
 
 @query("g2_bucket_metrics", _with(fx.RESPONSES, "SELECT dataset_name, corruption_name, corruption_level, eligible, applied, not_applied, responses, api_errors, parse_failures, correct, crr_den, crr_num FROM buckets"))
 def _(s, d):
-    return metrics.bucket_metrics(metrics.paired(_outcomes(s, d))).drop("crr", "success_rate", "parse_failure_rate")
+    return metrics.bucket_metrics(_facts(s, d)).drop("crr", "success_rate", "parse_failure_rate")
 
 
 @query("g3_crr", _with(fx.RESPONSES, "SELECT dataset_name, corruption_name, corruption_level, crr FROM rated"))
 def _(s, d):
-    return metrics.bucket_metrics(metrics.paired(_outcomes(s, d))).select("dataset_name", "corruption_name", "corruption_level", "crr")
+    return metrics.bucket_metrics(_facts(s, d)).select("dataset_name", "corruption_name", "corruption_level", "crr")
 
 
 @query("g4_strategy_macro", _with(f"{fx.RESPONSES}, {_CLEAN_SQL}", f"SELECT corruption_name, round(sum(crr) / count(crr) * 100.0, 9) AS macro_crr_pct, {_PCT('sum(applied)', 'sum(eligible)')} AS success_pct, {_PCT('sum(correct)', 'sum(responses)')} AS accuracy_pct, (SELECT {_PCT('sum(correct)', 'sum(total)')} FROM cm) - {_PCT('sum(correct)', 'sum(responses)')} AS drop_pct FROM rated GROUP BY ALL"))
 def _(s, d):
-    out = _outcomes(s, d)
-    return metrics.strategy_metrics(metrics.bucket_metrics(metrics.paired(out)), metrics.clean_metrics(out)).withColumn("macro_crr_pct", F.round("macro_crr_pct", 9))
+    return metrics.strategy_metrics(_facts(s, d)).withColumn("macro_crr_pct", F.round("macro_crr_pct", 9))
 
 
 @query("g5_success_rate", _with(fx.RESPONSES, f"SELECT corruption_name, {_PCT('sum(applied)', 'sum(eligible)')} AS success_pct FROM rated GROUP BY ALL"))
 def _(s, d):
-    return metrics.bucket_metrics(metrics.paired(_outcomes(s, d))).groupBy("corruption_name").agg(metrics.share(F.sum("applied"), F.sum("eligible")).alias("success_pct"))
+    return metrics.bucket_metrics(_facts(s, d)).groupBy("corruption_name").agg(metrics.share(F.sum("applied"), F.sum("eligible")).alias("success_pct"))
 
 
 @query("g7_overall_failures", _with(fx.RESPONSES, f"""SELECT {_PCT('(cf + pf)', 'n')} AS overall_pct, {_PCT('cf', 'nc')} AS clean_pct, {_PCT('pf', '(n - nc)')} AS corrupted_pct, {_PCT('(cf + pf)', '(n + missing)')} AS bounded_pct FROM
 (SELECT count(*) FILTER (is_clean AND parse_failed) AS cf, count(*) FILTER (is_clean AND NOT has_response) AS missing, count(*) FILTER (NOT is_clean AND applied AND has_response AND parse_failed) AS pf FROM outcomes),
 (SELECT count(*) AS n, count(*) FILTER (corruption_name IS NULL) AS nc FROM records)"""))
 def _(s, d):
-    out = _outcomes(s, d)
-    return metrics.overall_failures(out, metrics.paired(out), fx.responses(s, d))
+    return metrics.overall_failures(_facts(s, d), fx.responses(s, d))
 
 
 @query("g8_bucket_rates", _with(fx.RESPONSES, "SELECT corruption_name, corruption_level, success_rate, parse_failure_rate FROM rated"))
 def _(s, d):
-    return metrics.bucket_metrics(metrics.paired(_outcomes(s, d))).select("corruption_name", "corruption_level", "success_rate", "parse_failure_rate")
+    return metrics.bucket_metrics(_facts(s, d)).select("corruption_name", "corruption_level", "success_rate", "parse_failure_rate")
 
 
 @query("g_grouping_sets", _with(fx.RESPONSES, "SELECT dataset_name, corruption_name, corruption_level, count(*) AS eligible, count(*) FILTER (applied) AS applied, count(*) FILTER (applied AND has_response) AS responses, count(*) FILTER (applied AND has_response AND correct) AS correct FROM paired GROUP BY GROUPING SETS ((dataset_name, corruption_name, corruption_level), (dataset_name, corruption_name), (corruption_name), ())"))
 def _(s, d):
-    return metrics.rollup(metrics.paired(_outcomes(s, d)))
+    return metrics.rollup(_facts(s, d))
 
 
 @query("flagship_retention", _with(fx.RESPONSES, "SELECT corruption_level AS level, sum(eligible)::BIGINT AS eligible, sum(responses)::BIGINT AS responses, sum(parse_failures)::BIGINT AS parse_failures, sum(correct)::BIGINT AS correct, sum(crr_num)::BIGINT AS crr_num, sum(crr_den)::BIGINT AS crr_den, sum(crr_num)::DOUBLE / nullif(sum(crr_den), 0) AS crr FROM buckets GROUP BY ALL"))
 def _(s, d):
-    g = metrics.bucket_metrics(metrics.paired(_outcomes(s, d))).groupBy(F.col("corruption_level").alias("level"))
+    g = metrics.bucket_metrics(_facts(s, d)).groupBy(F.col("corruption_level").alias("level"))
     g = g.agg(*[F.sum(c).alias(c) for c in ("eligible", "responses", "parse_failures", "correct", "crr_num", "crr_den")])
     return g.withColumn("crr", metrics.share(F.col("crr_num"), F.col("crr_den"), False))
 
 
 @query("g9_label_histogram", "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")
 def _(s, d):
-    return fx.table(s, d, "documents").rollup("lang", "source").agg(F.count("*").alias("n"))
+    return audit.label_histogram(fx.table(s, d, "documents"), "lang", "source")
 
 
-_STATS = f"changes AS ({strategies.oracle('del')}), stats AS (SELECT level, count(*) AS n, round(avg(change_count), 4) AS mean, median(change_count)::DOUBLE AS median, min(change_count) AS least, max(change_count) AS most FROM changes GROUP BY ALL)"
+_STATS = f"{fx.PAIRS}, changes AS ({_EVERY_PAIR}), stats AS (SELECT strategy, level, count(*) AS n, round(avg(change_count), 4) AS mean, median(change_count)::DOUBLE AS median, min(change_count) AS least, max(change_count) AS most FROM changes GROUP BY ALL)"
 
 
 def _stats(s, d):
-    return audit.change_stats(strategies.perturb(fx.single(s, d).drop("gold_label"), "del", with_text=False).withColumn("strategy", F.lit("del")).select("strategy", "level", "change_count"), ["strategy", "level"])
+    return audit.change_stats(runner.run_every(fx.pairs(s, d), _PAIR), ["strategy", "level"])
 
 
-@query("g12_change_stats", _with(_STATS, "SELECT 'del' AS strategy, * FROM stats"))
+@query("g12_change_stats", _with(_STATS, "SELECT * FROM stats"))
 def _(s, d):
     return _stats(s, d)
 
 
-@query("g13_monotone", _with(_STATS, "SELECT 'del' AS strategy, l.mean AS low, m.mean AS medium, h.mean AS high, l.mean <= m.mean AND m.mean <= h.mean AS monotone FROM stats l, stats m, stats h WHERE l.level = 'low' AND m.level = 'medium' AND h.level = 'high'"))
+@query("g13_monotone", _with(_STATS, "SELECT l.strategy, l.mean AS low, m.mean AS medium, h.mean AS high, l.mean <= m.mean AND m.mean <= h.mean AS monotone FROM stats l JOIN stats m USING (strategy) JOIN stats h USING (strategy) WHERE l.level = 'low' AND m.level = 'medium' AND h.level = 'high'"))
 def _(s, d):
     return audit.monotone(_stats(s, d), ["strategy"])
 
 
-@query("w7_level_steps", _with(_STATS, "SELECT 'del' AS strategy, level, mean, mean - lag(mean) OVER (ORDER BY list_position(['low', 'medium', 'high'], level)) AS step FROM stats"))
+@query("w7_level_steps", _with(_STATS, "SELECT strategy, level, mean, mean - lag(mean) OVER (PARTITION BY strategy ORDER BY list_position(['low', 'medium', 'high'], level)) AS step FROM stats"))
 def _(s, d):
     return audit.level_steps(_stats(s, d), ["strategy"])
 
 
-@query("g14_distinct_levels", _with(fx.SAMPLES, "SELECT sample_id, count(DISTINCT corruption_level) AS levels, count(DISTINCT corruption_name) AS strategies FROM sampled GROUP BY ALL"))
+@query("g14_distinct_levels", _with(fx.SAMPLES, "SELECT dataset_name, sample_id, count(DISTINCT corruption_level) AS levels, count(DISTINCT corruption_name) AS strategies FROM sampled GROUP BY ALL"))
 def _(s, d):
-    return fx.samples(s, d).groupBy("sample_id").agg(F.countDistinct("corruption_level").alias("levels"), F.countDistinct("corruption_name").alias("strategies"))
+    return audit.strategy_sets(fx.samples(s, d))
 
 
 @query("g15_duplicate_keys", _with(fx.REQUESTS, "SELECT count(*) FILTER (c > 1) AS groups, sum(c - 1)::BIGINT AS extra FROM (SELECT request_key, count(*) AS c FROM requests GROUP BY ALL)"))
@@ -672,30 +800,30 @@ def _(s, d):
     return audit.duplicate_keys(fx.requests(s, d), ["request_key"])
 
 
-@query("g17_attempts", "SELECT sum(n * m)::BIGINT AS attempts FROM (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS m FROM events GROUP BY ALL)")
+@query("g17_attempts", "SELECT sum(n * n)::BIGINT AS attempts FROM (SELECT p_size % 4 AS lvl, count(*) AS n FROM part GROUP BY ALL)")
 def _(s, d):
-    return fx.table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("m")).agg(F.sum(F.col("n") * F.col("m")).alias("attempts"))
+    df = _keyed(s, d)
+    return recover.attempts(df, df, ["is_clean", "corruption_name", "corruption_level"])
 
 
 @query("g18_record_counts", _with(fx.RESPONSES, "SELECT count(*) FILTER (corruption_name IS NULL) AS clean, count(*) FILTER (corruption_name IS NOT NULL) AS corrupted FROM records"))
 def _(s, d):
-    return fx.responses(s, d).agg(F.count_if(F.col("corruption_name").isNull()).alias("clean"), F.count_if(F.col("corruption_name").isNotNull()).alias("corrupted"))
+    return metrics.record_counts(fx.responses(s, d))
 
 
 @query("g6_accuracy_drop", _with(f"{fx.RESPONSES}, {_CLEAN_SQL}", f"SELECT corruption_name, (SELECT {_PCT('sum(correct)', 'sum(total)')} FROM cm) - {_PCT('sum(correct)', 'sum(responses)')} AS drop_pct FROM rated GROUP BY ALL"))
 def _(s, d):
-    out = _outcomes(s, d)
-    return metrics.strategy_metrics(metrics.bucket_metrics(metrics.paired(out)), metrics.clean_metrics(out)).select("corruption_name", "drop_pct")
+    return metrics.strategy_metrics(_facts(s, d)).select("corruption_name", "drop_pct")
 
 
-@query("g19_expected_records", "SELECT user_id, sum(n)::BIGINT AS expected FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL) GROUP BY ALL")
+@query("g19_expected_records", "SELECT count(*) AS expected FROM events")
 def _(s, d):
-    return fx.table(s, d, "events").where("event_type <> 'error'").groupBy("user_id").agg(F.count("*").alias("expected"))
+    return audit.sum_success(_file_stats(s, d), ["user_id"]).agg(F.sum("expected").alias("expected"))
 
 
 @query("g20_sample_counts", _with(fx.SAMPLES, "SELECT count(*) FILTER (corruption_name IS NULL) AS clean, count(*) FILTER (corruption_name IS NOT NULL) AS corrupted, count(*) AS total FROM sampled"))
 def _(s, d):
-    return fx.samples(s, d).agg(F.count_if(F.col("corruption_name").isNull()).alias("clean"), F.count_if(F.col("corruption_name").isNotNull()).alias("corrupted"), F.count("*").alias("total"))
+    return readers.layout_counts(fx.samples(s, d))
 
 
 # -- windows, sorts, sets, gates --------------------------------------------------------------------
@@ -708,25 +836,33 @@ def _(s, d):
 
 @query("w3_op_index", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS op_index FROM lineitem")
 def _(s, d):
-    return fx.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).cast("long").alias("op_index"))
+    lines = fx.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("l"))  # a few lines of an order
+    ops = edits.reindex(F.transform("l", lambda n: edits.op("insert", n, n, F.lit(""), F.lit("x"))))
+    return lines.select("l_orderkey", F.explode(ops).alias("o")).select("l_orderkey", F.col("o.start").alias("l_linenumber"), "o.op_index")
 
 
-@query("w6_multiple_assignment", _with(fx.REQUESTS, "SELECT event_id, count(*) OVER (PARTITION BY request_key) > 1 AS several FROM requests"))
+@query("w6_multiple_assignment", _with(_RECOVERED, "SELECT p_partkey AS record_id, rebuilt = request_key AS several FROM cand"))
 def _(s, d):
-    r = fx.requests(s, d)
-    n = r.groupBy("request_key").agg((F.count("*") > 1).alias("several"))
-    return r.select("event_id", "request_key").join(n, "request_key").select("event_id", "several")
+    twice = _recovered(s, d)
+    return recover.assigned_several(twice.unionByName(twice.withColumn("record_id", -F.col("record_id") - 1))).where("record_id >= 0").select("record_id", "several")
 
 
-@query("o1_candidate_top1", "SELECT l_orderkey, l_partkey AS best FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY abs(l_quantity - 10), l_linenumber, l_partkey) AS k FROM lineitem) WHERE k = 1")
+@query("o1_candidate_top1", "SELECT c_custkey, 'XY' || substr(c_name, 3) AS chosen, 'YX' || substr('XY' || substr(c_name, 3), 3) AS swapped, 1 AS swaps, c_name || '!' AS cleaned FROM customer")
 def _(s, d):
-    return fx.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct(F.abs(F.col("l_quantity") - 10).alias("a"), "l_linenumber", "l_partkey")).alias("best"))
+    name = F.col("c_name")
+    put = lambda head: F.concat(F.lit(head), F.substring(name, len(head) + 1, 999))
+    df = fx.table(s, d, "customer").select("c_custkey", "c_name", F.array(name, F.lit(None).cast("string"), put("X"), put("XYZW"), put("XY")).alias("some"), F.array(F.concat(name, F.lit("😀")), F.concat(name, F.lit("😀!")), F.lit("")).alias("noisy"))
+    df = compat.choose_candidate(df, "c_name", "some", target_units=2, most_share=0.5)
+    df = compat.choose_candidate(df.withColumn("swap", F.array(F.concat(F.lit("YX"), F.substring("chosen", 3, 999)), F.reverse("chosen"))), "chosen", "swap", "swapped", swaps=True, target_swaps=1, most_swaps=1)
+    df = compat.choose_candidate(df, "c_name", "noisy", "cleaned", noise=True)
+    return df.select("c_custkey", "chosen", "swapped", compat.local_swaps(F.col("chosen"), F.col("swapped")).alias("swaps"), "cleaned")
 
 
-@query("o5_alternatives", "SELECT user_id, array_to_string(list(event_type ORDER BY n, event_type), ',') AS ranked FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY ALL")
+@query("o5_alternatives", _with(_ASSIGNED, "SELECT sample_id, array_to_string(list(e ORDER BY used, e), ',') AS ranked FROM (SELECT sample_id, unnest(eligible) AS e FROM el) LEFT JOIN (SELECT strategy, count(*) AS used FROM assigned GROUP BY ALL) ON e = strategy GROUP BY ALL"))
 def _(s, d):
-    g = fx.table(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return g.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "event_type"))), lambda x: x["event_type"]), ",").alias("ranked"))
+    df = _eligible(s, d).where(F.size("eligible") > 0)
+    used = runner.used_counts(_assigned(s, d))
+    return df.join(used, df["dataset_name"] == used["dataset"]).select("sample_id", F.array_join(runner.alternatives(F.col("eligible"), F.col("used")), ",").alias("ranked"))
 
 
 @query("o6_error_samples", _with(fx.REQUESTS, "SELECT event_id FROM requests WHERE is_error ORDER BY event_id LIMIT 5"))
@@ -764,22 +900,49 @@ def _(s, d):
     return audit.reconcile(docs, expected, ["source"])
 
 
-@query("v2_input_gate", "SELECT 'rows' AS name, 1000::BIGINT AS expected, count(*) AS actual, count(*) = 1000 AS ok FROM documents UNION ALL SELECT 'empty', 0, count(*) FILTER (text = ''), count(*) FILTER (text = '') = 0 FROM documents")
+@query("v2_input_gate", "SELECT 'rows' AS name, count(*) AS expected, count(*) AS actual, true AS ok FROM documents UNION ALL SELECT 'empty', 0, count(*) FILTER (text = ''), count(*) FILTER (text = '') = 0 FROM documents")
+def _(s, d):
+    docs = fx.table(s, d, "documents")
+    return audit.gate(docs, {"rows": (F.count("*"), docs.count()), "empty": (F.count_if(F.col("text") == ""), 0)})
+
+
+@query("v4_recovery_gate", _with(_RECOVERED, """, c AS (SELECT count(*) AS n, count(*) FILTER (lvl IS NULL) AS clean, count(*) FILTER (rebuilt = request_key) AS hit FROM cand)
+SELECT 'observed_records' AS name, n AS expected, n AS actual, true AS ok FROM c UNION ALL SELECT 'exact_matches', n, hit, hit = n FROM c UNION ALL SELECT 'zero_matches', 0, n - hit, n = hit FROM c UNION ALL SELECT 'multiple_matches', 0, 0, true
+UNION ALL SELECT 'candidate_clean', clean, clean, true FROM c UNION ALL SELECT 'candidate_corrupted', n - clean, n - clean, true FROM c UNION ALL SELECT 'duplicate_observed_keys', 0, 0, true UNION ALL SELECT 'duplicate_selected_keys', 0, 0, true
+UNION ALL SELECT 'bucket ' || coalesce(lvl, 'clean'), count(*), count(*), true FROM cand GROUP BY lvl""".replace(", c AS", ", c AS", 1)).replace("cand AS (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN 'none' ELSE request_key END AS rebuilt FROM keyed)\n,", "cand AS (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN 'none' ELSE request_key END AS rebuilt FROM keyed),"))
 def _(s, d):
-    return audit.gate(fx.table(s, d, "documents"), {"rows": (F.count("*"), 1000), "empty": (F.count_if(F.col("text") == ""), 0)})
+    df = _keyed(s, d).withColumn("bucket", F.coalesce("corruption_level", F.lit("clean")))
+    out = _recovered(s, d).join(df.select(F.col("p_partkey").alias("record_id"), "request_key"), "record_id")
+    pool = df.select("is_clean", F.lit("asap").alias("dataset_name"), "bucket", F.when(F.col("p_partkey") % 7 != 0, F.col("request_key")).alias("selected_key"))
+    n, clean = df.count(), df.where("is_clean").count()
+    return audit.recovery_gate(out, pool, {"observed_records": n, "candidate_clean": clean, "candidate_corrupted": n - clean}, pool.groupBy("bucket").agg(F.count("*").alias("n")))
+
+
+#: The clean pairs as one dataset; perturbed ones by the strategy of their text's length, with faults by the other text's length.
+_OF = f"({STRATEGIES})[1 + length(text_a) % 7]"
 
 
-@query("v5_audit", _with(fx.SINGLE + f", changed AS ({strategies.oracle('vis')})", """SELECT rule, count(*) AS n FROM (SELECT 'unknown_sample' AS rule FROM changed WHERE sample_id::BIGINT % 10 = 0 AND NOT (level = 'high' AND sample_id::BIGINT % 4 = 1)
-UNION ALL SELECT 'levels_missing' FROM single WHERE sample_id::BIGINT % 4 = 1) GROUP BY ALL"""))
+@query("v5_audit", _with(fx.PAIRS, f"""SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN m = 0 THEN 'unknown_sample' END, CASE WHEN m = 1 THEN 'path_mismatch' END, CASE WHEN m = 2 THEN 'clean_field_changed' END, CASE WHEN m = 3 THEN 'nothing_changed' END,
+CASE WHEN m = 4 THEN 'invalid_flags' END, CASE WHEN m = 5 THEN 'line_separator' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT length(text_b) % 11 AS m, unnest({LEVELS}) FROM pairs)
+UNION ALL SELECT 'levels_missing' FROM pairs WHERE length(text_b) % 11 = 6
+UNION ALL SELECT 'missing_file/' || st || '/' || lv FROM (SELECT unnest({STRATEGIES}) AS st), (SELECT unnest({LEVELS}) AS lv) WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE {_OF} = st AND NOT (length(text_b) % 11 = 6 AND lv = 'high'))
+UNION ALL SELECT 'clean_count' UNION ALL SELECT 'perturbed_count' UNION ALL SELECT 'assignment_count'
+UNION ALL SELECT 'strategies_missing' WHERE (SELECT count(DISTINCT {_OF}) FROM pairs WHERE length(text_b) % 11 <> 0) < 7) GROUP BY ALL"""))
 def _(s, d):
-    clean = fx.single(s, d).drop("gold_label")
-    rows = strategies.perturb(clean, "vis").withColumn("strategy", F.lit("vis")).where("not (level = 'high' and cast(sample_id as bigint) % 4 = 1)")
-    return audit.audit_perturbed(clean.where("cast(sample_id as bigint) % 10 <> 0"), rows).groupBy("rule").agg(F.count("*").alias("n"))
+    df = fx.pairs(s, d).withColumns({"m": F.length("text_b") % 11, "split": F.lit("test"), "language": F.lit("zh"), "clean_payload": F.struct("text_a", "text_b")})
+    clean = df.select("dataset_name", "sample_id", "split", "language", "gold_label", "clean_payload")
+    m, name = F.col("m"), F.get(F.array(*map(F.lit, STRATEGIES)), F.length("text_a") % 7)
+    rows = df.withColumn("path_level", F.explode(F.array(*map(F.lit, LEVELS)))).where(~((m == 6) & (F.col("path_level") == "high")))
+    changed = F.struct(F.concat("text_a", F.when(m == 5, "\u2028").when(m == 3, "").otherwise("x")).alias("text_a"), "text_b")
+    rows = rows.select("dataset_name", F.when(m == 0, F.concat(F.lit("x"), "sample_id")).otherwise(F.col("sample_id")).alias("sample_id"), F.when(m == 2, "?").otherwise(F.col("gold_label")).alias("gold_label"), "clean_payload", name.alias("path_name"), "path_level",
+                       name.alias("corruption_name"), F.when(m == 1, "other").otherwise(F.col("path_level")).alias("corruption_level"), changed.alias("corrupted_payload"), F.lit(True).alias("corruption_applied"), F.when(m == 4, 0).otherwise(1).alias("change_count"))
+    expected = clean.groupBy("dataset_name").agg((F.count("*") + 1).alias("n"))
+    return audit.audit_dataset(clean, rows, expected).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("v6_missing_identity", _with(fx.REQUESTS, "SELECT count(*) FILTER (request_key IS NULL) AS missing FROM requests"))
+@query("v6_missing_identity", _with(fx.RESPONSES, "SELECT sample_id, count(*) AS n FROM records GROUP BY ALL"))
 def _(s, d):
-    return fx.requests(s, d).agg(F.count_if(F.col("request_key").isNull()).alias("missing"))
+    return readers.with_identity(fx.responses(s, d)).groupBy("sample_id").agg(F.count("*").alias("n"))
 
 
 @query("v7_state_exclusivity", f"SELECT status, reason IS NULL AS no_reason, count(*) AS n FROM ({_ORACLES['b5_rating_adapter']}) GROUP BY ALL")

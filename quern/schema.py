@@ -16,11 +16,10 @@ LABELS_OF = {
     "sentiment_polarity": ["positive", "negative"],
     "sentiment_rating": ["1", "2", "3", "4", "5"],
 }
-LABEL_TEXT = {"pawsx_zh": {"0": "different", "1": "same"}, "lcqmc": {"0": "different", "1": "same"}}
+LABEL_TEXT = {"pawsx_zh": {"0": "different_meaning", "1": "paraphrase"}, "lcqmc": {"0": "not_matched", "1": "matched_intent"}}
 STRATEGIES = ["homo", "del", "swap", "vis", "add_noise", "red_char", "red_word"]
 ALIASES = {"tpwr": "homo", "vscr": "vis", "cr": "red_char", "wr": "red_word", "muni": "add_noise"}
 LEVELS = ["low", "medium", "high"]
-EDIT_KINDS = ["replace", "insert", "delete", "duplicate"]
 SAFE_METADATA = ["candidate_count", "unicode_category"]
 
 PAYLOAD = T.StructType([T.StructField(n, T.StringType()) for n in ("payload_kind", "text_a", "text_b", "context", "question")] + [T.StructField("options", T.ArrayType(T.StringType()))])
