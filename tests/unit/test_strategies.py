@@ -38,9 +38,13 @@ def test_contract(clean, name, unit):
             assert len(changed) == 1 and len(r.ops) == 1
     same = strategies.perturb(clean.repartition(5), name, ["text_a", "text_b"], unit=unit).select("sample_id", "level", "corrupted")
     assert sorted(map(str, same.collect())) == sorted(map(str, df.select("sample_id", "level", "corrupted").collect()))
-    one = {(r.sample_id, r.level): r for r in strategies.perturb(clean.drop("text_b"), name, unit=unit).collect()}
-    mixed = {(r.sample_id, r.level): r for r in strategies.perturb(clean.drop("text_b").withColumn("st", F.lit(name)), F.col("st"), unit=unit).collect()}
-    assert {k: (r.corrupted, r.ops) for k, r in one.items()} == {k: (r.corrupted, r.ops) for k, r in mixed.items()}
+
+
+def test_a_column_of_strategies_does_what_each_does(clean):
+    one = clean.drop("text_b")
+    every = {(r.strategy, r.sample_id, r.level): (r.corrupted, r.ops) for r in runner.run_every(one).collect()}
+    each = {(n, r.sample_id, r.level): (r.corrupted, r.ops) for n in STRATEGIES for r in strategies.perturb(one, n).collect()}
+    assert every == each
 
 
 def test_repeats_touch_both_fields_above_low_and_pick_by_seed(spark):
