@@ -39,6 +39,8 @@ DEVIATIONS = 5
 SIG_BLOCK, BLOCK, BLOCK_SHINGLES, STAR_CELL = 512, 128, 1 << 21, 256
 #: Bits of the bitmap that filters texts: for each text that is needed, and at most.  Beyond half of that it would let most texts pass and is left out.
 BITS_EACH, MAX_BITMAP = 16, 1 << 28
+#: Components whose block counts (a long and four ints) are broadcast; beyond, they are joined.
+MAX_SIZES = 1_000_000
 #: Words (of up to so many bytes) whose hash is kept.
 CACHED_WORDS, WORD_BYTES = 300_000, 64
 SEED = 20_24
@@ -240,6 +242,7 @@ def plausible_cells(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
 
     sizes = blocks(x, "x").join(blocks(y, "y"), "main", "left")
     sizes = materialize(sizes.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ny", "fy")}), "nd-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= MAX_SIZES else sizes  # else one component's members would be dealt to one task
     cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     upto = lambda lo, hi, f: F.when(lo <= hi, F.transform(F.sequence(lo, hi), f)).otherwise(F.array().cast("array<struct<kind: string, i: int, j: int, side: int>>"))
     me, last = F.col("own"), F.col("nx") - 1
