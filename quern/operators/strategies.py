@@ -325,9 +325,14 @@ def _ops(strategy: str | Column, f: _Field, seed: Column, first: Column) -> Colu
 
 
 def uniform_choice(df: DataFrame, key: str, n: Column, k: int, seed: Column) -> DataFrame:
-    """(key, pos): k of the places below ``n`` for each row, every k-subset equally likely: those of least hash.  Rows x places, so for short texts."""
-    each = df.select(key, seed.alias("__seed"), F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("pos")) if n is not None else df
-    w = Window.partitionBy(key).orderBy(F.sha2(F.concat_ws("|", "__seed", "pos"), 256), "pos")
+    """(key, pos): k of the places below ``n`` for each key, every k-subset equally likely: those of least hash.
+
+    Rows keep their own k places before keys meet, so that k places of a row are sorted, not all.  Hashes are compared as bytes, which is the order of their digits.
+    """
+    hashed = lambda p: F.struct(F.unhex(F.sha2(F.concat_ws("|", seed, p), 256)).alias("hash"), p.alias("pos"))
+    places = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+    each = df.select(key, F.inline(F.slice(F.sort_array(F.transform(places, hashed)), 1, k)))
+    w = Window.partitionBy(key).orderBy("hash", "pos")
     return each.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).select(key, "pos")
 
 

@@ -188,3 +188,15 @@ def test_audit(spark):
     want += [("d", "None", r) for r in ("clean_count", "repeated_clean_id", "split_or_language", "missing_file/vis/medium", "missing_file/vis/high", "assignment_count", "strategies_missing")]
     want += [("e", "None", r) for r in ("clean_count", "perturbed_count", "assignment_count", "strategies_missing")] + [("e", "None", f"missing_file/{s}/{x}") for s in ("del", "vis") for x in LEVELS]
     assert got == sorted(want)
+
+
+def test_uniform_choice_sorts_k_places_of_a_row(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(1, 50), (2, 2), (3, 0), (4, 5), (4, 9)], "k long, n int")  # a key may come twice
+    out = strategies.uniform_choice(df, "k", F.col("n"), 3, F.col("k"))
+    best = lambda k, places: sorted(places, key=lambda p: (hashlib.sha256(f"{k}|{p}".encode()).hexdigest(), p))[:3]
+    want = [(k, p) for k, places in ((1, range(50)), (2, range(2)), (4, [*range(5), *range(9)])) for p in best(k, places)]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" in plan.split("Window")[-1]  # rows are cut to k places below the window
