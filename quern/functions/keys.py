@@ -43,6 +43,12 @@ def mix(seed: Column, j: Column, salt: int = 0) -> Column:
     return ((a * a) % PRIME * 48271 + seed) % PRIME
 
 
+def mix_numbers(seed: int, j, salt: int = 0):
+    """``mix`` of an array of 64-bit numbers."""
+    a = (seed + (j + 1) * 1000003 + salt * 7368787) % PRIME
+    return ((a * a) % PRIME * 48271 + seed) % PRIME
+
+
 def sql_mix(seed: str, j: str, salt: int = 0) -> str:
     """``mix`` as SQL text."""
     a = f"(({seed} + ({j} + 1) * 1000003 + {salt * 7368787}) % {PRIME})"

@@ -29,12 +29,17 @@ def visible_length(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[\p{C}\p{Z}]", ""))
 
 
+def has_two_visible(text: Column) -> Column:
+    """Whether the visible length is 2 at least; without going through the whole text."""
+    return text.rlike(r"[^\p{C}\p{Z}][\p{C}\p{Z}]*[^\p{C}\p{Z}]")
+
+
 def has_han(text: Column) -> Column:
     return text.rlike(HAN)
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (F.length(strip(text)) == 0)
+    return text.isNull() | ~text.rlike(r"(?U)[^\s\x{1C}-\x{1F}]")
 
 
 def has_line_separator(value: Column) -> Column:

@@ -16,13 +16,14 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions.edits import op
-from ..functions.keys import mix, row_seed, sql_mix, strata
+from ..functions.keys import mix, mix_numbers, row_seed, sql_mix, strata
 from ..functions.plan import opaque
 from ..functions.segment import IS_WORD, pattern, span, tokens
-from ..functions.text import UNIT, visible_length
+from ..functions.text import UNIT, has_two_visible
 from ..schema import LEVELS, STRATEGIES
 from .calls import illegal_targets
 
@@ -130,6 +131,8 @@ class Strategy:
     new: Callable[[Column, Column, Column], Column]
     #: What the trace says of every edit.
     metadata: tuple[tuple[str, str], ...] = ()
+    #: Unit pattern -> the class of eligible characters, for strategies whose edits grow with the text; None for those that make a few.
+    cls: Callable[[str], str] | None = None
 
 
 def _noise(old: Column, seed: Column, j: Column) -> Column:
@@ -137,13 +140,37 @@ def _noise(old: Column, seed: Column, j: Column) -> Column:
 
 
 CHAR_STRATEGIES = {s.name: s for s in [
-    Strategy("homo", "replace", "word", 0, 1, lambda t, unit: _in_class(t, _one_of(SOUND_ALIKE)), lambda old, seed, j: map_char(old, SOUND_ALIKE)),
+    Strategy("homo", "replace", "word", 0, 1, lambda t, unit: _in_class(t, _one_of(SOUND_ALIKE)), lambda old, seed, j: map_char(old, SOUND_ALIKE), cls=lambda unit: _one_of(SOUND_ALIKE)),
     Strategy("vis", "replace", "char", 0, 1, lambda t, unit: _in_class(t, _one_of(LOOK_ALIKE, STOP)), lambda old, seed, j: map_char(old, LOOK_ALIKE), (("candidate_count", "1"),)),
-    Strategy("del", "delete", "char", 0, 1, lambda t, unit: _in_class(t, unit), lambda old, seed, j: F.lit("")),
+    Strategy("del", "delete", "char", 0, 1, lambda t, unit: _in_class(t, unit), lambda old, seed, j: F.lit(""), cls=lambda unit: unit),
     Strategy("swap", "replace", "char", 0, 2, _swap_places, lambda old, seed, j: F.reverse(old)),
-    Strategy("add_noise", "insert", "noise", 1, 0, lambda t, unit: _in_class(t, unit), _noise),
+    Strategy("add_noise", "insert", "noise", 1, 0, lambda t, unit: _in_class(t, unit), _noise, cls=lambda unit: unit),
     Strategy("red_char", "duplicate", "char", 0, 1, lambda t, unit: _in_class(t, unit), lambda old, seed, j: old, (("repeat_count", "1"),)),
 ]}
+#: Strategies with many edits, whose places are the characters of a class: an Arrow function makes their texts.
+MANY = [s.name for s in CHAR_STRATEGIES.values() if s.cls]
+
+
+@F.udf(StringType(), useArrow=True)
+def edit_many(strategy, text, mask, seed, k, first):
+    """The text with k of its places edited, drawn as by ``strata``: Spark's functions have no cheap cut at a place of a long text, and this is done for each tenth character or so."""
+    if text is None:
+        return None
+    import numpy as np
+
+    points = lambda t: np.frombuffer(t.encode("utf-32-le"), "<u4")
+    text, places = points(text), np.flatnonzero(points(mask))
+    j, n = np.arange(k, dtype=np.int64), len(places)
+    lo, hi = j * n // k, (j + 1) * n // k
+    at = places[lo + mix_numbers(seed, first + j) % np.maximum(hi - lo, 1)]
+    if strategy == "del":
+        out = np.delete(text, at)
+    elif strategy == "add_noise":
+        out = np.insert(text, at + 1, points(NOISE)[mix_numbers(seed, first + j, SALT_NOISE) % len(NOISE)])
+    else:
+        out = text.copy()
+        out[at] = points("".join(SOUND_ALIKE.get(c, c) for c in text[at].tobytes().decode("utf-32-le")))
+    return out.tobytes().decode("utf-32-le")
 
 
 def places_of(strategy: str, text: Column, unit: str, words: Column | None = None) -> Column:
@@ -151,7 +178,12 @@ def places_of(strategy: str, text: Column, unit: str, words: Column | None = Non
     if strategy == "red_word":
         return _where(tokens(text) if words is None else words, lambda w, i: w.rlike(IS_WORD[unit]))
     p = CHAR_STRATEGIES[strategy].places(text, UNIT[unit])
-    return F.when(visible_length(text) >= 2, p).otherwise(_none()) if strategy == "red_char" else p
+    return F.when(has_two_visible(text), p).otherwise(_none()) if strategy == "red_char" else p
+
+
+def mask_of(strategy: str, text: Column, unit: str) -> Column:
+    """For strategies of MANY the text with _OUT for each character that is no place."""
+    return F.regexp_replace(text, f"(?s)[^{CHAR_STRATEGIES[strategy].cls(UNIT[unit]).strip('[]')}]", _OUT) if strategy in MANY else F.lit(None).cast("string")
 
 
 def _by(strategy: str | Column, value: Callable[[str], Column]) -> Column:
@@ -176,14 +208,17 @@ def works(strategy: str, text: Column, unit: str = "letter") -> Column:
     """Whether the strategy has an eligible place in the text, so an edit to make at every level; without looking for all places."""
     has = text.rlike(UNIT[unit])
     return {
-        "homo": text.rlike(_one_of(SOUND_ALIKE)), "vis": text.rlike(_one_of(LOOK_ALIKE, STOP)), "del": has, "add_noise": has, "red_char": has & (visible_length(text) >= 2), "red_word": text.rlike(IS_WORD[unit]),
+        "homo": text.rlike(_one_of(SOUND_ALIKE)), "vis": text.rlike(_one_of(LOOK_ALIKE, STOP)), "del": has, "add_noise": has, "red_char": has & has_two_visible(text), "red_word": text.rlike(IS_WORD[unit]),
         "swap": text.rlike(f"({UNIT[unit]})(?!\\1){UNIT[unit]}"),
     }[strategy]
 
 
 @dataclass
 class _Field:
-    """The columns of one field: its text, length, fixed-width bytes, tokens, places, places to draw from, edits to make, drawn places."""
+    """The columns of one field: its text, length, fixed-width bytes, tokens, mask, places, places to draw from and their number, edits to make, ranks drawn, drawn places.
+
+    ``found``, ``from`` and ``drawn`` are empty for strategies of MANY, of which ``many`` is the text; only operations read ``places`` and ``at``, which all strategies have.
+    """
 
     name: str
     x: int
@@ -219,12 +254,15 @@ def perturb(
     invalid = F.size(illegal_targets(F.col(targets), F.col(kind))) > 0 if targets and kind else F.lit(False)
     rows = rows.withColumns({"__strategy": F.lit(strategy) if isinstance(strategy, str) else strategy, "__invalid": F.coalesce(invalid, F.lit(False))} | {f"__text{f.x}": F.coalesce(F.col(f.name), F.lit("")) for f in fields})
     chosen = strategy if isinstance(strategy, str) else F.col("__strategy")
-    words = _is(chosen, ["red_word"])
+    words, many = _is(chosen, ["red_word"]), _is(chosen, MANY)
     for f in fields:
         wanted = ~F.col("__invalid") & (F.coalesce(F.array_contains(F.col(targets), f.name), F.lit(False)) if targets else F.lit(True))
         rows = rows.withColumn(f"__tokens{f.x}", opaque(F.when(words, tokens(f.text))) if not isinstance(strategy, str) or strategy == "red_word" else F.lit(None))
-        places = F.coalesce(F.when(wanted, _by(chosen, partial(places_of, text=f.text, unit=unit, words=f.tokens))), _none())
-        rows = rows.withColumns({f"__places{f.x}": opaque(places), f"__bytes{f.x}": opaque(F.encode(f.text, "UTF-32")), f"__mark{f.x}": opaque(F.contains(f.text, F.lit("\ufeff")))})
+        own_places = lambda names, f=f, wanted=wanted: F.coalesce(F.when(wanted & _is(chosen, names), _by(chosen, lambda n: places_of(n, f.text, unit, f.tokens) if n in names else _none())), _none())
+        rows = rows.withColumns({f"__found{f.x}": opaque(own_places([n for n in STRATEGIES if n not in MANY])), f"__cut{f.x}": opaque(own_places(MANY))})
+        rows = rows.withColumn(f"__mask{f.x}", opaque(F.when(wanted, _by(chosen, partial(mask_of, text=f.text, unit=unit)))))
+        rows = rows.withColumns({f"__places{f.x}": F.when(many, f.cut).otherwise(f.found), f"__bytes{f.x}": opaque(F.encode(f.text, "UTF-32")), f"__mark{f.x}": opaque(F.contains(f.text, F.lit("\ufeff")))})
+        rows = rows.withColumn(f"__able{f.x}", opaque(F.when(many, F.coalesce(F.length(F.replace(f.mask, F.lit(_OUT), F.lit(""))), F.lit(0)))))
     # levels become rows only now, so that what they share is computed once
     level, seed = F.col("level"), F.col("seed")
     rows = rows.withColumn("__level", F.explode(F.array(*map(F.lit, levels)))).drop(*[c for c in own if c == "level"]).withColumnRenamed("__level", "level")
@@ -232,10 +270,11 @@ def perturb(
     swap = _is(chosen, ["swap"])
     rows = rows.withColumn("__parity", opaque(mix(seed, F.lit(0), SALT_PARITY) % 2))
     parity = F.col("__parity")
-    one = lambda f, p: F.filter(f.places, lambda x: x % 2 == p)  # noqa: E731  places of one parity make disjoint pairs
+    one = lambda f, p: F.filter(f.found, lambda x: x % 2 == p)  # noqa: E731  places of one parity make disjoint pairs
     swaps = not isinstance(strategy, str) or strategy == "swap"
-    rows = rows.withColumns({f"__from{f.x}": opaque(F.when(swap, F.when(F.exists(f.places, lambda x: x % 2 == parity), one(f, parity)).otherwise(one(f, 1 - parity))).otherwise(f.places)) if swaps else f.places for f in fields})
-    size, total = (lambda f: F.size(f.__getattr__("from"))), F.lit(0)
+    rows = rows.withColumns({f"__from{f.x}": opaque(F.when(swap, F.when(F.exists(f.found, lambda x: x % 2 == parity), one(f, parity)).otherwise(one(f, 1 - parity))).otherwise(f.found)) if swaps else f.found for f in fields})
+    rows = rows.withColumns({f"__size{f.x}": F.when(many, f.able).otherwise(F.size(f.__getattr__("from"))) for f in fields})
+    size = lambda f: f.size
     edits = lambda n, length: _by(chosen, lambda name: budget(name, level, n, length))
     joint, single = _is(chosen, JOINT), _is(chosen, ONE_AT_LOW) & (level == LEVELS[0])
     before = [sum((size(g) for g in fields[: f.x]), F.lit(0)) for f in fields]
@@ -252,15 +291,18 @@ def perturb(
     rows = rows.withColumns({f"__count{f.x}": opaque(F.coalesce(count[f.x], F.lit(0)).cast("int")) for f in fields})
     first = [sum((g.count for g in fields[: f.x]), F.lit(0)) for f in fields]
 
-    def drawn(f: _Field) -> Column:
-        ranks = strata(seed, size(f), f.count, first[f.x])
-        if len(fields) > 1:
-            ranks = F.when(joint, F.transform(inside(f), lambda r: (r - before[f.x]).cast("int"))).otherwise(ranks)
-        return opaque(F.transform(ranks, lambda r: F.get(f.__getattr__("from"), r)))
+    def ranks(f: _Field) -> Column:
+        own_ranks = strata(seed, size(f), f.count, first[f.x])
+        return F.when(joint, F.transform(inside(f), lambda r: (r - before[f.x]).cast("int"))).otherwise(own_ranks) if len(fields) > 1 else own_ranks
 
-    rows = rows.withColumns({f"__drawn{f.x}": drawn(f) for f in fields})
+    at_ranks = lambda f, places: F.transform(f.ranks, lambda r: F.get(places, r))
+    rows = rows.withColumns({f"__ranks{f.x}": opaque(ranks(f)) for f in fields})
+    rows = rows.withColumns({f"__drawn{f.x}": opaque(at_ranks(f, f.__getattr__("from"))) for f in fields} | {f"__at{f.x}": opaque(F.when(many, at_ranks(f, f.cut)).otherwise(at_ranks(f, f.__getattr__("from")))) for f in fields})
+    if not isinstance(strategy, str) or strategy in MANY:
+        made_of = lambda f: edit_many(F.col("__strategy"), *[F.when(many & (f.count > 0), c) for c in (f.text, f.mask)], seed, f.count, first[f.x])
+        rows = rows.withColumns({f"__many{f.x}": opaque(made_of(f)) for f in fields})
     total = sum((f.count for f in fields[1:]), fields[0].count).cast("long")
-    texts = [F.when(F.size(f.drawn) > 0, _text(chosen, f, seed, first[f.x])).otherwise(F.col(f.name)) for f in fields]
+    texts = [F.when(f.count > 0, _text(chosen, f, seed, first[f.x])).otherwise(F.col(f.name)) for f in fields]
     out = texts[0] if isinstance(text, str) else F.struct(*[t.alias(n) for t, n in zip(texts, names, strict=True)])
     ops = F.concat(*[_ops(chosen, f, seed, first[f.x]) for f in fields])
     status = F.when(F.col("__invalid"), "INVALID").when(total > 0, "APPLIED").otherwise("NOT_APPLIED")
@@ -282,6 +324,8 @@ def _text(strategy: str | Column, f: _Field, seed: Column, first: Column) -> Col
         if name == "red_word":
             return F.array_join(F.transform(f.tokens, lambda w, i: F.when(F.array_contains(f.drawn, i), F.concat(w, w)).otherwise(w)), "")
         s = CHAR_STRATEGIES[name]
+        if s.cls:
+            return f.many
 
         def joined(cut: Callable[[Column, Column], Column]) -> Column:
             def part(p: Column, j: Column) -> Column:
@@ -308,7 +352,7 @@ def _ops(strategy: str | Column, f: _Field, seed: Column, first: Column) -> Colu
 
     def made(name: str) -> Column:
         if name == "red_word":
-            return F.transform(f.drawn, word)
+            return F.transform(f.at, word)
         s = CHAR_STRATEGIES[name]
         meta = F.create_map(*[F.lit(x) for kv in s.metadata for x in kv]) if s.metadata else None
 
@@ -317,7 +361,7 @@ def _ops(strategy: str | Column, f: _Field, seed: Column, first: Column) -> Colu
                 old, new = _edit(s, cut, p, seed, first + j)
                 return op(s.kind, p + s.skip, p + (s.skip + s.width), old, new, field=field, unit=s.unit, index=first + j, metadata=meta)
 
-            return F.transform(f.drawn, one)
+            return F.transform(f.at, one)
 
         return f.with_cut(each)
 

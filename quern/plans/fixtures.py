@@ -19,6 +19,12 @@ def single(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left").select(F.col("doc_id").cast("string").alias("sample_id"), F.lit("docs").alias("dataset_name"), F.coalesce("text", F.lit("")).alias("text_a"), "gold_label")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a clean sample without a gold label, so that texts need not meet labels."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").cast("string").alias("sample_id"), F.lit("docs").alias("dataset_name"), F.coalesce("text", F.lit("")).alias("text_a"))
+
+
 SINGLE = "single AS (SELECT d.doc_id::VARCHAR AS sample_id, 'docs' AS dataset_name, coalesce(text, '') AS text_a, quality::VARCHAR AS gold_label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 
 

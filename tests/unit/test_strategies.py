@@ -200,3 +200,16 @@ def test_uniform_choice_sorts_k_places_of_a_row(spark):
     assert sorted(map(tuple, out.collect())) == sorted(want)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(" in plan.split("Window")[-1]  # rows are cut to k places below the window
+
+
+def test_many_edits_are_made_without_a_cut_for_each(spark):
+    texts = ["", "é", "﻿a\0b 😀𠮷c" * 30, "z" * 300, " 12 "]
+    df = spark.createDataFrame([(str(i), "d", t) for i, t in enumerate(texts)], "sample_id string, dataset_name string, text_a string")
+    for name in ("homo", "del", "add_noise"):
+        out = strategies.perturb(df, name)
+        plan = out.select("corrupted")._jdf.queryExecution().optimizedPlan().toString()
+        assert "edit_many" in plan and "UTF-32" not in plan  # a decode for each stretch between two edits before
+        # the text is what its operations make of the clean one, which are drawn by columns
+        rows = out.select("sample_id", "change_count", "corrupted", F.size("ops").alias("n"), edits.apply_ops(F.col("text_a"), F.col("ops")).alias("again"), "text_a").collect()
+        assert all(r.n == r.change_count and r.again == (r.corrupted if r.n else r.text_a) for r in rows), name
+        assert {r.sample_id for r in rows if r.n} >= {"2", "3"}
