@@ -39,6 +39,14 @@ def with_fallback(df: DataFrame, text: str | Sequence[str] = "text_a", unit: str
 
     A strategy with a place makes an edit at every level, so a row is changed at all levels or at none.  ``df`` is read for the counts and again for the rows.
     """
+    rows = df if "__fit" in df.columns else df.withColumn("__fit", fitting(text, unit))
+    rows = rows.join(used_counts(df).select(F.col("dataset").alias("__d"), F.col("used").alias("__used")), F.col("dataset_name").eqNullSafe(F.col("__d")), "left")
+    other = F.get(F.filter(alternatives(F.col("eligible"), F.col("__used")), lambda n: F.array_contains("__fit", n)), 0)
+    return rows.withColumn("strategy", opaque(F.when(F.array_contains("__fit", F.col("strategy")), F.col("strategy")).otherwise(other))).drop("__d", "__used", "__fit")
+
+
+def fitting(text: str | Sequence[str] = "text_a", unit: str = "letter") -> Column:
+    """Strategies that find a place in a text, in one look at each."""
     fields = [F.coalesce(F.col(t), F.lit("")) for t in ([text] if isinstance(text, str) else text)]
 
     def fits(name: str) -> Column:
@@ -47,22 +55,19 @@ def with_fallback(df: DataFrame, text: str | Sequence[str] = "text_a", unit: str
             out = out | works(name, t, unit)
         return out
 
-    rows = df.join(used_counts(df).select(F.col("dataset").alias("__d"), F.col("used").alias("__used")), F.col("dataset_name").eqNullSafe(F.col("__d")), "left")
-
-    def fit(name: Column) -> Column:
-        out = F.lit(False)
-        for n in STRATEGIES:
-            out = F.when(name == n, fits(n)).otherwise(out)
-        return out
-
-    other = F.get(F.filter(alternatives(F.col("eligible"), F.col("__used")), fit), 0)
-    return rows.withColumn("strategy", opaque(F.when(fit(F.col("strategy")), F.col("strategy")).otherwise(other))).drop("__d", "__used")
+    return opaque(F.array_compact(F.array(*[F.when(fits(n), F.lit(n)) for n in STRATEGIES])))
 
 
 def run_assigned(df: DataFrame, text: str | Sequence[str] = "text_a", unit: str = "letter") -> DataFrame:
-    """One strategy for each row, three levels of it: the whole perturbed table.  ``df`` is read several times and should be a table."""
+    """One strategy for each row, three levels of it: the whole perturbed table.  ``df`` is read several times and should be a table, with one row of each dataset_name and sample_id.
+
+    Strategies are given out without the texts, which meet their row's strategy in one join and are sorted and numbered nowhere.
+    """
     fields = [F.col(t) for t in ([text] if isinstance(text, str) else text)]
-    return perturb_assigned(with_fallback(assign_balanced(df.withColumn("eligible", eligible(fields, unit))), text, unit), text, unit=unit)
+    narrow = df.select("dataset_name", "sample_id", eligible(fields, unit).alias("eligible"), fitting(text, unit).alias("__fit"))
+    chosen = with_fallback(assign_balanced(narrow), text, unit).select(F.col("dataset_name").alias("__dataset"), F.col("sample_id").alias("__id"), "eligible", "strategy")
+    rows = df.join(chosen, F.col("dataset_name").eqNullSafe(F.col("__dataset")) & F.col("sample_id").eqNullSafe(F.col("__id"))).drop("__dataset", "__id")
+    return perturb_assigned(rows, text, unit=unit)
 
 
 def run_every(df: DataFrame, text: str | Sequence[str] = "text_a", unit: str = "letter", targets: str | None = None, kind: str | None = None) -> DataFrame:

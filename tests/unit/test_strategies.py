@@ -213,3 +213,13 @@ def test_many_edits_are_made_without_a_cut_for_each(spark):
         rows = out.select("sample_id", "change_count", "corrupted", F.size("ops").alias("n"), edits.apply_ops(F.col("text_a"), F.col("ops")).alias("again"), "text_a").collect()
         assert all(r.n == r.change_count and r.again == (r.corrupted if r.n else r.text_a) for r in rows), name
         assert {r.sample_id for r in rows if r.n} >= {"2", "3"}
+
+
+def test_texts_are_not_numbered(spark):
+    df = spark.createDataFrame([(str(i), "d", "word " * i) for i in range(9)], "sample_id string, dataset_name string, text_a string")
+    plan = runner.run_assigned(df)._jdf.queryExecution().optimizedPlan()
+    nodes = [plan]
+    while nodes:
+        n = nodes.pop()
+        assert n.nodeName() != "Window" or "text_a" not in n.output().mkString(",")
+        nodes += [n.children().apply(i) for i in range(n.children().size())]
